@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,8 +189,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A text that loses words is what is kept, joined by single spaces; any other
     text is unchanged, white space included. ``n_chars`` follows if it is there.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []

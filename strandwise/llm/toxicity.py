@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,8 +187,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``; all columns."""
-    import pandas as pd
-
     model = fit(*sample(docs.select("doc_id", "text"), labels))
 
     @F.pandas_udf("double")
