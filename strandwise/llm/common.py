@@ -29,17 +29,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="strandwise-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the copy.
 
     Shuffle files of what lies behind are then free; Spark drops them as soon
-    as the JVM notices, which the two collections below bring forward.
+    as the JVM notices, which the two collections below bring forward (``free``;
+    small tables do without).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -86,6 +88,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() * 2 < want else df
 
 
+def set_apart(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``docs`` with all columns but ``known`` in one struct, a function that takes them out again).
+
+    So no column of the input can have the name of one that an operator adds.
+    """
+    others = [c for c in docs.columns if c not in known]
+    sealed = docs.select(*(c for c in docs.columns if c in known), F.struct(*(F.col(f"`{c}`") for c in others)).alias("_others")) if others else docs
+
+    def open_(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(c) if c in known else F.col("_others").getField(c).alias(c) for c in docs.columns))
+
+    return sealed, open_
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

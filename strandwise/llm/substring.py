@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, spread, table, texts
+from .common import cut, map_texts, set_apart, spread, table, texts
 
 WINDOW = 20
 GRAM = 5
@@ -196,12 +196,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append(t if t is None or s is None or not len(s) else b" ".join(kept_words(t.encode().split(), list(s))).decode())
         return pd.Series(out, dtype=object)
 
-    out = with_repeats(docs)
+    sealed, open_ = set_apart(docs, "doc_id", "text", "n_chars")
+    out = with_repeats(sealed)
     new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned("text", "_spans"))
     out = out.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return open_(out)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
