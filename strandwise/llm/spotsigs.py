@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread, table
+from .common import cut, table
 
 CHAIN = 2
 ROWS_IN_GROUP = 256
@@ -126,7 +126,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row: fingerprints of the text and of its edited text, and likenesses."""
-    rows = with_next(spread(docs.select("doc_id", "text")))
+    rows = with_next(docs.select("doc_id", "text"))
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -144,7 +144,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     signatures in the order of their hashes. Lengths are cut into ranges that
     grow by 1 / threshold, so a set meets its own and the next range only.
     """
-    rows = spread(docs).select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs")).withColumn("print", digest(F.col("signs")))
+    rows = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs")).withColumn("print", digest(F.col("signs")))
     rows = cut(rows)
     classes = rows.groupBy("print").agg(F.min("doc_id").alias("class"), F.min("signs").alias("signs"))
     members = rows.join(classes.select("print", "class"), "print").select("doc_id", "class")
