@@ -13,7 +13,7 @@ the few smallest signatures of which alike sets must share one; what meets is
 compared, with the lengths and positions as bounds first.
 
 Null texts are empty; two empty texts are alike (1.0). Rows that repeat an id
-follow one another in the order of a hash of their texts; null ids come after
+follow one another in the order of their texts; null ids come after
 all others. Empty tables give no rows. Other columns are ignored.
 """
 
@@ -26,6 +26,7 @@ from .common import cut, table
 
 CHAIN = 2
 ROWS_IN_GROUP = 256
+COARSE = 4096
 #: Anchors: common words of the corpus languages.
 ANCHORS = tuple(
     sorted(
@@ -102,26 +103,38 @@ def following(ids: DataFrame, alone: int = 50_000, width: int = 4096) -> DataFra
     return inside.join(after, "h").select("g", F.coalesce("next_g", "top").alias("next_g"))
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, g: ranges of ids with about ROWS_IN_GROUP rows each, numbered in the order of ids.
+
+    The span of all ids is cut into COARSE ranges, and each of those evenly
+    between its own least and largest id, so ids that stand in clusters far
+    apart spread as well. The table of ranges that is broadcast has COARSE + 2
+    rows at most.
+    """
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = ((most or 0) - (least or 0)) // COARSE + 1
+    h = F.expr(f"doc_id div {step}L")
+    ranges = docs.where("doc_id is not null").groupBy(h.alias("h")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    first = (least or 0) // step - 1
+    ranges = ranges.select("h", "lo", F.expr(f"greatest((hi - lo + 1) * {ROWS_IN_GROUP}L div n, 1L)").alias("width"), ((F.col("h") - F.lit(first)) * F.lit(1 << 40)).alias("base"))
+    placed = docs.withColumn("h", h).join(F.broadcast(ranges), "h", "left")
+    return placed.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr("base + (doc_id - lo) div width"), F.lit(-1)).alias("g"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, signs, next_text, next_signs: each row with the next in descending order of ids.
+    """doc_id, text, next_text: each row with the next in descending order of ids.
 
-    Rows are grouped by ranges of ids of about ROWS_IN_GROUP rows, which shuffles
-    texts once; only the last row of a group takes its next from another group.
+    Texts are shuffled once, by ranges of ids; only the last row of a range
+    takes its next from another. All three branches read the same exchange.
     """
-    bounds = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    least, most, n = bounds[0] or 0, bounds[1] or 0, max(1, bounds[2])
-    width = max(1, (most - least + 1) * ROWS_IN_GROUP // n)
-    g = F.coalesce(F.expr(f"(doc_id - {least}L) div {width}L"), F.lit(-1))
-    groups = following(docs.select(g.alias("g")))
-    flat = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), g.alias("g"))
-    flat = flat.withColumn("signs", signatures(F.col("text")))
-    w = Window.partitionBy("g").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    row = F.struct("text", "signs")
-    dealt = flat.withColumns({"_next": F.lead(row).over(w), "_before": F.lag(F.lit(True)).over(w)})
+    flat = grouped(docs)
+    groups = following(flat.select("g"))
+    w = Window.partitionBy("g").orderBy(F.desc_nulls_last("doc_id"), "text")
+    dealt = flat.repartition("g").withColumns({"_next": F.lead("text").over(w), "_before": F.lag(F.lit(True)).over(w)})
     last = dealt.where(F.col("_next").isNull()).drop("_next", "_before").join(groups, "g")
-    first = dealt.where(F.col("_before").isNull()).select(F.col("g").alias("next_g"), row.alias("_next"))
-    names = ["doc_id", "text", "signs", F.col("_next.text").alias("next_text"), F.col("_next.signs").alias("next_signs")]
-    return dealt.where(F.col("_next").isNotNull()).select(*names).unionByName(last.join(first, "next_g").select(*names))
+    first = dealt.where(F.col("_before").isNull()).select(F.col("g").alias("next_g"), F.col("text").alias("next_text"))
+    inner = dealt.where(F.col("_next").isNotNull()).select("doc_id", "text", F.col("_next").alias("next_text"))
+    return inner.unionByName(last.join(first, "next_g").select("doc_id", "text", "next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -130,9 +143,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), "signs", "next_signs", edited.alias("edited"))
-    rows = rows.withColumn("pair", let(F.col("edited"), lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signatures(e).alias("signs"))))
-    return rows.select("doc_id", "n_chars", F.col("pair.sha").alias("edited_sha256"), digest(F.col("signs")).alias("fingerprint"), digest(F.col("pair.signs")).alias("edited_fingerprint"), likeness(F.col("signs"), F.col("pair.signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"))
+    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("signs"), signatures(F.col("next_text")).alias("next_signs"))
+    rows = rows.withColumn("edited_signs", signatures(F.col("edited")))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(F.col("signs")).alias("fingerprint"), digest(F.col("edited_signs")).alias("edited_fingerprint"), likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"))
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
