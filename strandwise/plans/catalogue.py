@@ -1,4 +1,518 @@
-"""Registered queries over the driver tables, with SQL."""
+"""Registered queries over the driver tables, with SQL for the same rows.
 
+Texts stand for DNA: their ASCII letters, each read as a base. A is a table's
+k-mer set and B another's; K and M are the parameters throughout. All queries
+run over whole tables. Those whose values hang on a hash that SQL lacks, or on
+a draw, have no SQL; tests hold them against a second implementation.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import alphabet, hashing
+from ..operators import compaction, generators, membership, minimizers, setops
+from ..operators import kmers as K_
+from ..sources import sequences, store
+from ..streaming import presence as streaming
+
+K, M, BITS = 21, 11, 6
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+IDS = {"documents": "doc_id", "benchmark": "item_id", "conversations": "concat_ws('-', conv_id, turn)", "part": "p_partkey", "customer": "c_custkey"}
+TEXTS = {"part": "p_name", "customer": "c_name"}
+
+
+def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    t = table(spark, sf_dir, name)
+    return sequences.from_table(t.select(F.expr(IDS[name]).alias("record_id"), F.col(TEXTS.get(name, "text")).alias("text")), "record_id", alphabet.letters_as_bases("text"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the session's checkpoints, which all executors reach."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+
+
+# ------------------------------------------------------------ pieces of SQL
+
+
+def seq_sql(text: str = "text") -> str:
+    return f"translate(regexp_replace({text}, '[^A-Za-z]', '', 'g'), '{alphabet.LETTERS}', '{alphabet.LETTERS_AS_BASES}')"
+
+
+def rc_sql(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+
+
+def records_sql(name: str) -> str:
+    text = TEXTS.get(name, "text")
+    return f"SELECT CAST({IDS[name]} AS VARCHAR) AS record_id, {seq_sql(text)} AS seq FROM {name} WHERE {text} IS NOT NULL"
+
+
+def kmers_sql(name: str, k: int = K) -> str:
+    """record_id, pos, raw"""
+    return f"SELECT record_id, pos, substr(seq, pos + 1, {k}) AS raw FROM (SELECT record_id, seq, CAST(unnest(range(0, length(seq) - {k} + 1)) AS INTEGER) AS pos FROM ({records_sql(name)}) WHERE length(seq) >= {k})"
+
+
+def canon_sql(x: str) -> str:
+    return f"least({x}, {rc_sql(x)})"
+
+
+def set_sql(name: str, k: int = K) -> str:
+    return f"SELECT DISTINCT {canon_sql('raw')} AS kmer FROM ({kmers_sql(name, k)})"
+
+
+def code_sql(x: str) -> str:
+    return f"list_reduce(list_transform(string_split(translate({x}, 'ACGT', '0123'), ''), lambda c: CAST(c AS BIGINT)), lambda p, q: p * 4 + q)"
+
+
+def phi_ctes(source: str, m: int) -> str:
+    """CTEs p0 to p3 over ``source`` with a column ``code``; p3 has it hashed as ``phi``."""
+    mask, s = (1 << 2 * m) - 1, max(1, m)
+    c1, c2 = (c & mask | 1 for c in hashing._MIX)
+    return (
+        f"p0 AS (SELECT *, xor(code, {hashing._SEED & mask}) AS x FROM {source}), "
+        f"p1 AS (SELECT * EXCLUDE x, (xor(x, x >> {s}) * {c1}) & {mask} AS x FROM p0), "
+        f"p2 AS (SELECT * EXCLUDE x, (xor(x, x >> {s}) * {c2}) & {mask} AS x FROM p1), "
+        f"p3 AS (SELECT * EXCLUDE x, xor(x, x >> {s}) AS phi FROM p2)"
+    )
+
+
+def chosen_ctes(name: str) -> str:
+    """CTEs up to ``best``: record_id, pos, raw, rank, j of the minimizer of each k-mer."""
+    return (
+        f"km AS ({kmers_sql(name)}), mm AS (SELECT record_id, pos, raw, unnest(range(0, {K - M + 1})) AS j FROM km), "
+        f"mw AS (SELECT *, substr(raw, j + 1, {M}) AS w FROM mm), ws AS (SELECT DISTINCT {canon_sql('w')} AS low FROM mw), "
+        f"wc AS (SELECT low, {code_sql('low')} AS code FROM ws), {phi_ctes('wc', M)}, "
+        f"cand AS (SELECT record_id, pos, raw, j, p3.phi AS rank, abs(2 * j - {K - M}) AS off, CASE WHEN w <= {rc_sql('w')} THEN raw ELSE {rc_sql('raw')} END AS framed FROM mw JOIN p3 ON p3.low = {canon_sql('w')}), "
+        "best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY record_id, pos ORDER BY rank, off, framed, j) = 1)"
+    )
+
+
+def superkmer_ctes(name: str) -> str:
+    """CTEs up to ``sk``: record_id, start, n_kmers, seq, pref, suff, minimizer."""
+    return (
+        f"{chosen_ctes(name)}, fl AS (SELECT *, pos + j AS occ, CASE WHEN pos + j = lag(pos + j) OVER (PARTITION BY record_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM best), "
+        "nu AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id ORDER BY pos) AS run FROM fl), "
+        "ru AS (SELECT record_id, CAST(min(pos) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS n_kmers, min(occ) AS occ FROM nu GROUP BY record_id, run), "
+        f"sk AS (SELECT ru.record_id, start, n_kmers, substr(r.seq, start + 1, n_kmers + {K - 1}) AS seq, CAST(occ - start AS INTEGER) AS pref, CAST(start + n_kmers + {K - 1} - occ - {M} AS INTEGER) AS suff, {canon_sql(f'substr(r.seq, occ + 1, {M})')} AS minimizer FROM ru JOIN ({records_sql(name)}) r ON ru.record_id = r.record_id)"
+    )
+
+
+TURNED = f"SELECT CASE WHEN substr(seq, pref + 1, {M}) = minimizer THEN seq ELSE {rc_sql('seq')} END AS seq, CASE WHEN substr(seq, pref + 1, {M}) = minimizer THEN pref ELSE suff END AS pref, CASE WHEN substr(seq, pref + 1, {M}) = minimizer THEN suff ELSE pref END AS suff, minimizer, n_kmers FROM sk"
+
+
+def both_sql(a: str, b: str) -> str:
+    """both, only_a, only_b"""
+    return f"SELECT count(*) FILTER (a.kmer IS NOT NULL AND b.kmer IS NOT NULL) AS x, count(*) FILTER (b.kmer IS NULL) AS p, count(*) FILTER (a.kmer IS NULL) AS q FROM ({set_sql(a)}) a FULL JOIN ({set_sql(b)}) b ON a.kmer = b.kmer"
+
+
+# ------------------------------------------------------ scalar functions
+
+
+_ASCII = "".join(chr(c) for c in range(32, 127))
+_ASCII_AS_BASES = "".join(alphabet.BITS_TO_BASE[(ord(c) >> 1) & 3] for c in _ASCII)
+
+
+@query(f"SELECT p_partkey, translate(p_name, '{_ASCII.replace(chr(39), chr(39) * 2)}', '{_ASCII_AS_BASES}') AS seq FROM part")
+def nt_encode(spark, sf_dir):
+    """Every byte of a name as a base."""
+    return table(spark, sf_dir, "part").select("p_partkey", alphabet.bases("p_name").alias("seq"))
+
+
+@query(f"SELECT doc_id, {seq_sql()} AS seq FROM documents")
+def letters_to_bases(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", alphabet.letters_as_bases("text").alias("seq"))
+
+
+@query(f"SELECT record_id, CAST(i AS INTEGER) AS place, CAST((ascii(substr(seq, i + 1, 1)) >> 1) & 3 AS INTEGER) AS code, substr(seq, i + 1, 1) AS base FROM (SELECT record_id, seq, unnest(range(0, length(seq))) AS i FROM ({records_sql('part')}))")
+def base_codes(spark, sf_dir):
+    """Two-bit codes of bases, and the bases that they mean."""
+    rows = records(spark, sf_dir, "part").where("length(seq) > 0").select("record_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("place"))
+    code = alphabet.encode_base(F.substring(F.col("seq"), F.col("place") + 1, F.lit(1)))
+    return rows.select("record_id", "place", code.alias("code"), alphabet.decode_base(code).alias("base"))
+
+
+@query(f"SELECT record_id, translate(seq, 'ACGT', 'TGCA') AS complement, {rc_sql('seq')} AS revcomp, {canon_sql('seq')} AS canonical, seq <= {rc_sql('seq')} AS forward FROM ({records_sql('documents')})")
+def revcomp(spark, sf_dir):
+    return records(spark, sf_dir, "documents").select("record_id", alphabet.complement("seq").alias("complement"), alphabet.revcomp("seq").alias("revcomp"), alphabet.canonical("seq").alias("canonical"), alphabet.is_forward("seq").alias("forward"))
+
+
+@query(f"SELECT DISTINCT raw AS kmer FROM ({kmers_sql('conversations', 8)}) WHERE raw = {rc_sql('raw')}")
+def palindromes(spark, sf_dir):
+    """8-mers that are their own reverse complement."""
+    rows = K_.kmer_strings(records(spark, sf_dir, "conversations"), 8)
+    return rows.where(alphabet.is_palindrome("kmer")).select("kmer").distinct()
+
+
+@query(f"SELECT kmer, {code_sql('kmer')} AS code, substr(kmer, 1, {K - 1}) AS head, substr(kmer, 2, {K - 1}) AS tail FROM ({set_sql('benchmark')})")
+def kmer_code_2bit(spark, sf_dir):
+    """k-mers packed in a long, and the k - 1 bases at either end."""
+    s = K_.kmer_set(records(spark, sf_dir, "benchmark"), K)
+    return s.select("kmer", alphabet.code("kmer", K).alias("code"), alphabet.prefix_overlap("kmer", K).alias("head"), alphabet.suffix_overlap("kmer", K).alias("tail"))
+
+
+# --------------------------------------------------------------- records
+
+
+@query("WITH s AS (SELECT CAST(item_id AS VARCHAR) AS id, list_filter(string_split_regex(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]+'), lambda x: x <> '') AS parts FROM benchmark WHERE text IS NOT NULL) SELECT concat(id, '_', i) AS record_id, parts[i + 1] AS seq FROM (SELECT id, parts, unnest(range(0, len(parts))) AS i FROM s)")
+def sanitize_fragments(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    return sequences.sanitize(sequences.from_table(rows, "item_id", "seq"))
+
+
+@query(f"SELECT record_id, seq FROM ({records_sql('documents')}) WHERE length(seq) >= {K}")
+def short_filter(spark, sf_dir):
+    return sequences.at_least(records(spark, sf_dir, "documents"), K)
+
+
+@query(f"WITH r AS ({records_sql('documents')}), c AS (SELECT record_id, seq, coalesce(sum(length(seq)) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own FROM r) SELECT record_id, substr(seq, 1, CAST(least(100000 - own, length(seq)) AS BIGINT)) AS seq FROM c WHERE own < 100000")
+def prefix_bases(spark, sf_dir):
+    """The first 100,000 bases over all records."""
+    return sequences.prefix(records(spark, sf_dir, "documents"), 100_000)
+
+
+@query(records_sql("benchmark") + " AND length(" + seq_sql() + ") > 0")
+def fasta_round_trip(spark, sf_dir):
+    """Records written as FASTA and read again."""
+    path = scratch(spark)
+    sequences.write_fasta(records(spark, sf_dir, "benchmark").where("length(seq) > 0"), path)
+    return sequences.read_fasta(spark, path)
+
+
+# ----------------------------------------------------------------- k-mers
+
+
+@query(f"SELECT record_id, pos, {canon_sql('raw')} AS kmer, raw <= {rc_sql('raw')} AS forward FROM ({kmers_sql('benchmark')})")
+def kmers_with_pos(spark, sf_dir):
+    return K_.kmers(records(spark, sf_dir, "benchmark"), K)
+
+
+@query(f"SELECT record_id, pos, {canon_sql('raw')} AS kmer, raw <= {rc_sql('raw')} AS forward FROM ({kmers_sql('benchmark', 41)})")
+def kmers_long(spark, sf_dir):
+    """k = 41, beyond what a long holds."""
+    return K_.kmers(records(spark, sf_dir, "benchmark"), 41)
+
+
+@query(f"SELECT CAST(coalesce(sum(greatest(length(seq) - {K} + 1, 0)), 0) AS BIGINT) AS n FROM ({records_sql('documents')})")
+def kmer_count(spark, sf_dir):
+    return K_.count_kmers(records(spark, sf_dir, "documents"), K)
+
+
+@query(f"SELECT count(*) AS n FROM ({set_sql('documents')})")
+def kmer_distinct_count(spark, sf_dir):
+    """Construction: all distinct k-mers of a table."""
+    return K_.key_set(records(spark, sf_dir, "documents"), K).agg(F.count("*").alias("n"))
+
+
+@query(set_sql("benchmark"))
+def kmer_distinct(spark, sf_dir):
+    return K_.kmer_set(records(spark, sf_dir, "benchmark"), K)
+
+
+@query(f"SELECT record_id, pos, kmer FROM (SELECT *, lag(kmer) OVER (PARTITION BY record_id ORDER BY pos) AS before FROM (SELECT record_id, pos, {canon_sql('raw')} AS kmer FROM ({kmers_sql('benchmark', 3)}))) WHERE before IS NULL OR before <> kmer")
+def dedup_consecutive(spark, sf_dir):
+    """3-mers without those equal to the one before."""
+    before = F.lag("kmer").over(Window.partitionBy("record_id").orderBy("pos"))
+    rows = K_.kmers(records(spark, sf_dir, "benchmark"), 3).withColumn("before", before)
+    return rows.where("before is null or before <> kmer").select("record_id", "pos", "kmer")
+
+
+@query(f"SELECT a.kmer AS \"left\", b.kmer AS \"right\" FROM ({set_sql('benchmark')}) a JOIN ({set_sql('benchmark')}) b ON substr(a.kmer, 2, {K - 1}) = substr(b.kmer, 1, {K - 1})")
+def overlap_join(spark, sf_dir):
+    """Pairs of k-mers that overlap by k - 1 bases."""
+    s = K_.kmer_set(records(spark, sf_dir, "benchmark"), K)
+    return membership.overlaps(s, s, K)
+
+
+# ------------------------------------------------------------- membership
+
+
+def _presence(spark, sf_dir, a="conversations", b="documents"):
+    return membership.presence(records(spark, sf_dir, a), K_.key_set(records(spark, sf_dir, b), K), K)
+
+
+def presence_sql(a="conversations", b="documents") -> str:
+    return f"SELECT record_id, pos, q.kmer, s.kmer IS NOT NULL AS present FROM (SELECT record_id, pos, {canon_sql('raw')} AS kmer FROM ({kmers_sql(a)})) q LEFT JOIN ({set_sql(b)}) s ON q.kmer = s.kmer"
+
+
+@query(presence_sql("benchmark"))
+def query_presence(spark, sf_dir):
+    """For each k-mer position of ``benchmark`` whether ``documents`` has it."""
+    return _presence(spark, sf_dir, "benchmark")
+
+
+@query(f"SELECT record_id, string_agg(CASE WHEN present THEN '1' ELSE '0' END, ',' ORDER BY pos) AS line FROM ({presence_sql('benchmark')}) GROUP BY record_id")
+def query_presence_lines(spark, sf_dir):
+    return membership.lines(_presence(spark, sf_dir, "benchmark"))
+
+
+@query(f"WITH {superkmer_ctes('benchmark')}, f AS ({presence_sql('benchmark', 'conversations')}), c AS (SELECT sk.record_id, start, substr(seq, pref + 1, {M}) <> minimizer AS turned, f.pos, f.present FROM sk JOIN f ON f.record_id = sk.record_id AND f.pos >= start AND f.pos < start + n_kmers) SELECT record_id, start, string_agg(CASE WHEN present THEN '1' ELSE '0' END, ',' ORDER BY CASE WHEN turned THEN -pos ELSE pos END) AS line FROM c GROUP BY record_id, start")
+def query_superkmer_lines(spark, sf_dir):
+    """One line of flags for each super-k-mer, in the direction of its minimizer."""
+    return membership.grouped_lines(_presence(spark, sf_dir, "benchmark", "conversations"), minimizers.superkmers(records(spark, sf_dir, "benchmark"), K, M))
+
+
+@query(f"SELECT DISTINCT kmer FROM ({presence_sql('benchmark')}) WHERE NOT present")
+def query_missing(spark, sf_dir):
+    return membership.missing(_presence(spark, sf_dir, "benchmark"))
+
+
+@query(f"SELECT record_id, count(*) AS n_kmers, CAST(sum(CASE WHEN present THEN 1 ELSE 0 END) AS BIGINT) AS n_present FROM ({presence_sql()}) GROUP BY record_id")
+def query_summary(spark, sf_dir):
+    return membership.summary(_presence(spark, sf_dir))
+
+
+@query(presence_sql("benchmark", "conversations"))
+def stream_presence(spark, sf_dir):
+    """The same lookup for a stream of records, run until its input is used up."""
+    path, t = scratch(spark), table(spark, sf_dir, "benchmark")
+    # a table is a file or a folder of files; a stream watches a folder
+    t.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(t.schema).parquet(f"{path}/in")
+    rows = sequences.from_table(stream, "item_id", alphabet.letters_as_bases("text"))
+    found = streaming.stream_presence(rows, K_.key_set(records(spark, sf_dir, "conversations"), K), K)
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+# ----------------------------------------------------------------- set algebra
+
+
+def _a(spark, sf_dir):
+    return K_.key_set(records(spark, sf_dir, "documents"), K)
+
+
+def _b(spark, sf_dir):
+    return K_.key_set(records(spark, sf_dir, "benchmark"), K)
+
+
+def _c(spark, sf_dir):
+    return K_.key_set(records(spark, sf_dir, "conversations"), K)
+
+
+def _named(df):
+    return df.select(K_.as_kmer("key", K).alias("kmer"))
+
+
+@query(f"({set_sql('documents')}) INTERSECT ({set_sql('benchmark')})")
+def setop_intersection(spark, sf_dir):
+    return _named(setops.intersection(_a(spark, sf_dir), _b(spark, sf_dir)))
+
+
+@query(f"({set_sql('benchmark')}) UNION ({set_sql('conversations')})")
+def setop_union(spark, sf_dir):
+    return _named(setops.union(_b(spark, sf_dir), _c(spark, sf_dir)))
+
+
+@query(f"({set_sql('conversations')}) EXCEPT ({set_sql('documents')})")
+def setop_diff_ab(spark, sf_dir):
+    return _named(setops.difference(_c(spark, sf_dir), _a(spark, sf_dir)))
+
+
+@query(f"({set_sql('benchmark')}) EXCEPT ({set_sql('documents')})")
+def setop_diff_ba(spark, sf_dir):
+    return _named(setops.relation(_a(spark, sf_dir), _b(spark, sf_dir), "diff_ba"))
+
+
+@query(f"(({set_sql('benchmark')}) EXCEPT ({set_sql('conversations')})) UNION (({set_sql('conversations')}) EXCEPT ({set_sql('benchmark')}))")
+def setop_xor(spark, sf_dir):
+    return _named(setops.symmetric_difference(_b(spark, sf_dir), _c(spark, sf_dir)))
+
+
+def _size(name, formula):
+    def run(spark, sf_dir):
+        return setops.size(_a(spark, sf_dir), _b(spark, sf_dir), name)
+
+    run.__name__ = f"setop_{name}_size"
+    run.__doc__ = f"Keys in the {name} of documents and benchmark, nothing materialized."
+    query(f"SELECT {formula} AS n FROM ({both_sql('documents', 'benchmark')})")(run)
+
+
+for _name, _formula in {"intersection": "x", "union": "x + p + q", "diff_ab": "p", "diff_ba": "q", "xor": "p + q"}.items():
+    _size(_name, _formula)
+
+SIZES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS relation, {e} AS n FROM c" for n, e in {"intersection": "x", "union": "x + p + q", "diff_ab": "p", "diff_ba": "q", "xor": "p + q", "A": "x + p", "B": "x + q"}.items())
+
+
+@query(f"WITH c AS ({both_sql('documents', 'benchmark')}) {SIZES_SQL}")
+def setop_sizes_all(spark, sf_dir):
+    """All seven sizes from one shared pass."""
+    return setops.sizes(setops.flagged(_a(spark, sf_dir), _b(spark, sf_dir)))
+
+
+@query(f"WITH c AS ({both_sql('benchmark', 'conversations')}) {SIZES_SQL}")
+def setop_multi(spark, sf_dir):
+    """All five relations written from one shared table, and their sizes as read from the stored sets."""
+    path = scratch(spark)
+    request = setops.Request({n: f"{path}/{n}" for n in setops.RELATIONS})
+    found = setops.multi(_b(spark, sf_dir), _c(spark, sf_dir), request, lambda df, p: store.write_set(df, p, K, M))
+    stored = {n: store.read_meta(spark, p)["n_kmers"] for n, p in request.outputs.items()}
+    return spark.createDataFrame([(n, stored.get(n, found[n])) for n in setops.SIZES], "relation string, n long")
+
+
+@query(f"SELECT x / (x + p + q) AS jaccard, x / (x + p) AS containment_a, x / (x + q) AS containment_b FROM ({both_sql('documents', 'benchmark')})")
+def jaccard_containment(spark, sf_dir):
+    return setops.overlap(setops.flagged(_a(spark, sf_dir), _b(spark, sf_dir)))
+
+
+# ----------------------------------------------------------------- storage
+
+
+@query(set_sql("benchmark"))
+def stored_set(spark, sf_dir):
+    """A set written in buckets and read again, one bucket after the other."""
+    path = scratch(spark)
+    store.write_set(_b(spark, sf_dir), path, K, M, buckets=4)
+    parts = [store.read_set(spark, path, b)[0] for b in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _named(out)
+
+
+@query(f"SELECT {K} AS k, {M} AS m, count(*) AS n_kmers, 4 AS n_buckets FROM ({set_sql('benchmark')})")
+def stored_meta(spark, sf_dir):
+    path = scratch(spark)
+    store.write_set(_b(spark, sf_dir), path, K, M, buckets=4)
+    return spark.read.parquet(f"{path}/meta").select("k", "m", "n_kmers", "n_buckets")
+
+
+@query()
+def set_digest(spark, sf_dir):
+    """Size and order-free digest of a set."""
+    return hashing.set_digest(_a(spark, sf_dir), "key")
+
+
+# --------------------------------------------- minimizers and super-k-mers
+
+
+@query(f"WITH c AS (SELECT unnest(range(0, 1024)) AS code), {phi_ctes('c', 5)} SELECT code, phi FROM p3")
+def minimizer_phi(spark, sf_dir):
+    """The hash of all 5-mers: a bijection."""
+    return spark.range(1024).select(F.col("id").alias("code"), hashing.phi(F.col("id"), 5).alias("phi"))
+
+
+@query(f"WITH c AS (SELECT unnest(range(0, 1024)) AS code), {phi_ctes('c', 5)} SELECT code, list_reduce(list_transform(range(0, 10), lambda i: ((phi >> i) & 1) << (9 - i)), lambda a, b: a + b) AS psi FROM p3")
+def minimizer_psi(spark, sf_dir):
+    return spark.range(1024).select(F.col("id").alias("code"), hashing.psi(F.col("id"), 5).alias("psi"))
+
+
+@query(f"WITH {chosen_ctes('benchmark')} SELECT record_id, pos, rank, CAST(j AS INTEGER) AS j FROM best")
+def minimizer_choice(spark, sf_dir):
+    """Rank and place of each k-mer's minimizer."""
+    rows = K_.kmer_strings(records(spark, sf_dir, "benchmark"), K)
+    raw = rows.withColumn("raw", F.when(F.col("forward"), F.col("kmer")).otherwise(alphabet.revcomp("kmer")))
+    return raw.select("record_id", "pos", minimizers.minimizer_of("raw", K, M).alias("m")).select("record_id", "pos", "m.rank", "m.j")
+
+
+@query(f"WITH {superkmer_ctes('benchmark')} SELECT record_id, start, seq, pref, suff, minimizer, n_kmers FROM sk")
+def superkmers(spark, sf_dir):
+    return minimizers.superkmers(records(spark, sf_dir, "benchmark"), K, M)
+
+
+@query(f"WITH {superkmer_ctes('benchmark')} SELECT record_id, start, n_kmers FROM sk")
+def superkmers_by_islands(spark, sf_dir):
+    """The same runs by windows instead of numpy."""
+    rows = K_.kmer_strings(records(spark, sf_dir, "benchmark"), K)
+    raw = rows.withColumn("raw", F.when(F.col("forward"), F.col("kmer")).otherwise(alphabet.revcomp("kmer")))
+    return minimizers.superkmers_by_islands(raw, K, M).select("record_id", "start", "n_kmers")
+
+
+@query(f"SELECT count(*) AS n_kmers, count(DISTINCT kmer) AS n_distinct FROM (SELECT {canon_sql('raw')} AS kmer FROM ({kmers_sql('conversations')}))")
+def superkmer_kmers_roundtrip(spark, sf_dir):
+    """The k-mers inside super-k-mers are those of the records."""
+    rows = minimizers.explode_superkmers(minimizers.superkmers(records(spark, sf_dir, "conversations"), K, M), K)
+    by = rows.groupBy("kmer").count()
+    return by.agg(F.sum("count").alias("n_kmers"), F.count("*").alias("n_distinct"))
+
+
+@query(f"WITH {superkmer_ctes('benchmark')} SELECT concat_ws(' ', seq, pref, suff) AS value FROM ({TURNED})")
+def ascii_dump(spark, sf_dir):
+    return minimizers.ascii_dump(minimizers.superkmers(records(spark, sf_dir, "benchmark"), K, M), K, M)
+
+
+BUCKETS = f"SELECT minimizer, n_kmers, CAST(list_reduce(list_transform(range(0, {BITS}), lambda i: ((p3.phi >> i) & 1) << ({BITS} - 1 - i)), lambda a, b: a + b) AS INTEGER) AS bucket FROM sk JOIN p3 ON p3.low = sk.minimizer"
+
+
+@query(f"WITH {superkmer_ctes('benchmark')} SELECT bucket, count(*) AS n_superkmers, CAST(sum(n_kmers) AS BIGINT) AS n_kmers FROM ({BUCKETS}) GROUP BY bucket")
+def minimizer_histogram(spark, sf_dir):
+    """Super-k-mers and k-mers in each of 64 ranges of reversed minimizer hashes."""
+    return minimizers.histogram(minimizers.superkmers(records(spark, sf_dir, "benchmark"), K, M), M, BITS)
+
+
+@query(f"WITH {superkmer_ctes('benchmark')} SELECT minimizer, min(bucket) AS bucket, count(*) AS n FROM ({BUCKETS}) GROUP BY minimizer")
+def bucket_counts(spark, sf_dir):
+    rows = minimizers.with_bucket(minimizers.superkmers(records(spark, sf_dir, "benchmark"), K, M), M, 1 << BITS)
+    return rows.groupBy("minimizer").agg(F.min("bucket").alias("bucket"), F.count("*").alias("n"))
+
+
+@query(set_sql("benchmark"))
+def compact_round_trip(spark, sf_dir):
+    """k-mers of the compact form; it is the set that was compacted."""
+    return compaction.kmers_of(compaction.compact(K_.kmer_set(records(spark, sf_dir, "benchmark"), K), K, M), K)
+
+
+@query()
+def compact_size(spark, sf_dir):
+    """Compact records, their bases, and bits for each k-mer at two bits a base."""
+    c = compaction.compact(K_.kmer_set(records(spark, sf_dir, "benchmark"), K), K, M)
+    out = c.agg(F.count("*").alias("n_records"), F.sum(F.length("seq")).alias("n_bases"), F.sum("n_kmers").cast("long").alias("n_kmers"))
+    return out.withColumn("bits_per_kmer", F.try_divide(F.col("n_bases") * 2.0, F.col("n_kmers")))
+
+
+# -------------------------------------------------------------- generators
+
+
+@query()
+def random_kmers(spark, sf_dir):
+    return generators.random_kmers(spark, 10_000, K)
+
+
+@query()
+def sampled_kmers(spark, sf_dir):
+    """1,000 k-mers uniform over the positions of a table."""
+    return generators.sample_kmers(K_.kmers(records(spark, sf_dir, "benchmark"), K), 1000)
+
+
+@query()
+def simulated_reads(spark, sf_dir):
+    return generators.simulated_reads(records(spark, sf_dir, "benchmark"), 500, 80, 0.01)
+
+
+@query()
+def mutated_overlap(spark, sf_dir):
+    """Jaccard index of a table with its copy mutated for an index of 0.5."""
+    r = records(spark, sf_dir, "benchmark")
+    other = generators.mutate(r, generators.rate_for_jaccard(0.5, K))
+    return setops.overlap(setops.flagged(K_.key_set(r, K), K_.key_set(other, K)))
+
+
+@query()
+def query_mix(spark, sf_dir):
+    """1,000 query k-mers, half of them in the set."""
+    return generators.query_mix(K_.kmers(records(spark, sf_dir, "benchmark"), K), 1000, 0.5, K)
