@@ -194,6 +194,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     references = map_texts(docs, "text", "doc_id long, n_bytes long, digest string, caption string", refer)
-    store = stored(docs).groupBy(F.col("digest").alias("payload_sha256")).agg(*(F.min(c).alias(c) for c in names))
+    # dealt by another column, so that the join deals both sides itself and Spark can split a digest that many rows name
+    store = stored(docs).groupBy("digest").agg(*(F.min(c).alias(c) for c in names)).repartition("media_sha256").select(F.col("digest").alias("payload_sha256"), *names)
     out = references.join(store, references["digest"] == store["payload_sha256"])
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
