@@ -147,14 +147,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, start, n: runs of windows that also start earlier."""
     docs = docs.select("doc_id", "text")
     every = paths(docs)
-    grams = every.groupBy("gram").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("places"), F.min("body").alias("low"), F.max("body").alias("high"), F.max("twice").alias("again"))
-    grams = grams.where("places > 1").select("gram", (F.col("low") != F.col("high")).alias("branching"), "again")
-    found = cut(every.join(grams, "gram"))
-    first = found.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    named = found.join(first, ["gram", "body"])
+    # counting alone first, in the shortest rows: nearly all grams stand in one place only and end here
+    grams = every.groupBy("gram").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1).cast("int")).alias("places")).where("places > 1").select("gram")
+    found = cut(every.join(grams, "gram", "left_semi"))
+    first = cut(found.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("n").alias("n"), F.max("twice").alias("again"), F.count("*").alias("copies")))
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    whole = named.where(later).select("doc_id", "start", "n")
-    open_ = first.join(found.where("branching or again").select("gram", "body", "n").distinct(), ["gram", "body"]).select("first.doc_id", "first.start", "n")
+    whole = cut(found.join(first.where("copies > 1").select("gram", "body", "first"), ["gram", "body"]).where(later).select("doc_id", "start", "n"))
+    named = first.groupBy("gram").agg((F.min("body") != F.max("body")).alias("branching"), F.max("again").alias("again")).where("branching or again").select("gram")
+    open_ = first.join(named, "gram", "left_semi").select("first.doc_id", "first.start", "n")
     spans = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     opened = cut(windows(docs.join(spans, "doc_id")))
     earliest = opened.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("_n")).where("_n > 1")
