@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, set_apart, spread, table, texts
+from .common import Stash, cut, map_texts, set_apart, spread, table, texts
 
 WINDOW = 20
 GRAM = 5
@@ -149,17 +149,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = paths(docs)
     # counting alone first, in the shortest rows: nearly all grams stand in one place only and end here
     grams = every.groupBy("gram").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1).cast("int")).alias("places")).where("places > 1").select("gram")
-    found = cut(every.join(grams, "gram", "left_semi"))
-    first = cut(found.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("n").alias("n"), F.max("twice").alias("again"), F.count("*").alias("copies")))
+    early, late = Stash(docs.sparkSession), Stash(docs.sparkSession)
+    found = early.put(every.join(grams, "gram", "left_semi"))
+    first = early.put(found.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("n").alias("n"), F.max("twice").alias("again"), F.count("*").alias("copies")))
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    whole = cut(found.join(first.where("copies > 1").select("gram", "body", "first"), ["gram", "body"]).where(later).select("doc_id", "start", "n"))
+    whole = late.put(found.join(first.where("copies > 1").select("gram", "body", "first"), ["gram", "body"]).where(later).select("doc_id", "start", "n"))
     named = first.groupBy("gram").agg((F.min("body") != F.max("body")).alias("branching"), F.max("again").alias("again")).where("branching or again").select("gram")
     open_ = first.join(named, "gram", "left_semi").select("first.doc_id", "first.start", "n")
     spans = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    opened = cut(windows(docs.join(spans, "doc_id")))
+    opened = late.put(windows(docs.join(spans, "doc_id")))
+    early.drop()
     earliest = opened.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("_n")).where("_n > 1")
     single = opened.join(earliest, ["one", "two"]).where(later).select("doc_id", "start", F.lit(1).alias("n"))
-    return cut(whole.unionByName(single))
+    out = cut(whole.unionByName(single))
+    late.drop()
+    return out
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
