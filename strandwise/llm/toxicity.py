@@ -33,7 +33,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 SIZES = (3, 4, 5, 6)
 DIM = 8
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 1500
 MIN_DOCS = 5
 DECAY = 1e-5
 EPOCHS = 8
@@ -71,8 +71,11 @@ def grams(docs: list[bytes]):
     return each(), ends
 
 
-def bags(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows: document, bucket, share of the document's n-grams."""
+def bags(docs: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (of one slice of texts): document, bucket, share of the document's n-grams.
+
+    ``keep``: mask of the buckets that are wanted; the others count in the shares only.
+    """
     keys = []
     parts, ends = grams(docs)
     for h, ok in parts:
@@ -80,8 +83,23 @@ def bags(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append(np.searchsorted(ends, at, side="right") << BITS | h[at].astype(np.int64))
     key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
     doc, bucket = key >> BITS, key & (BUCKETS - 1)
-    total = np.bincount(doc, weights=count, minlength=len(docs))
-    return doc, bucket, count / (total[doc] + PRIOR)
+    part = count / (np.bincount(doc, weights=count, minlength=len(docs))[doc] + PRIOR)
+    if keep is not None:
+        own = keep[bucket]
+        doc, bucket, part = doc[own], bucket[own], part[own]
+    return doc.astype(np.int32), bucket.astype(np.int32), part.astype(np.float32)
+
+
+def parts_of(docs: list[bytes], limit: int = 1 << 20):
+    """(number of the first, texts) of slices with about ``limit`` bytes: n-grams take many times a text's memory."""
+    first, held = 0, 0
+    for i, t in enumerate(docs):
+        held += len(t)
+        if held > limit:
+            yield first, docs[first : i + 1]
+            first, held = i + 1, 0
+    if first < len(docs):
+        yield first, docs[first:]
 
 
 class Model:
@@ -112,15 +130,27 @@ def fit(docs: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
         p = min(max(share, 0.001), 0.999)
         return Model(np.zeros(BUCKETS), np.log(p / (1 - p)))
     rng = np.random.default_rng(seed)
-    doc, bucket, part = bags(docs)
     # n-grams of fewer texts (copies counted once) say nothing that carries over; they stay at zero
     seen: dict[bytes, int] = {}
     distinct = np.array([seen.setdefault(t, i) == i for i, t in enumerate(docs)])
-    per_class = [np.bincount(bucket[distinct[doc] & (y[doc] == c)], minlength=BUCKETS) for c in (0, 1)]
+    per_class = [np.zeros(BUCKETS, dtype=np.int64) for _ in (0, 1)]
+    for at, some in parts_of(docs):
+        doc, bucket, _ = bags(some)
+        own = distinct[at + doc]
+        for c in (0, 1):
+            per_class[c] += np.bincount(bucket[own & (y[at + doc] == c)], minlength=BUCKETS)
     often = sum(per_class) >= min(MIN_DOCS, max(1, len(docs) // 20))
-    keep = often[bucket]
-    doc, bucket, part = doc[keep], bucket[keep], part[keep]
-    first = np.searchsorted(doc, np.arange(len(docs) + 1))
+    size, buckets, shares = np.zeros(len(docs), dtype=np.int64), [], []
+    for at, some in parts_of(docs):
+        doc, bucket, part = bags(some, often)
+        size[at : at + len(some)] = np.bincount(doc, minlength=len(some))
+        buckets.append(bucket)
+        shares.append(part)
+    first = np.r_[0, np.cumsum(size)]
+    bucket = np.concatenate(buckets)
+    del buckets
+    part = np.concatenate(shares)
+    del shares
     table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     # the first dimension starts from each n-gram's document log-odds, squared to favour the telling ones
