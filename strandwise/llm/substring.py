@@ -150,6 +150,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     # counting alone first, in the shortest rows: nearly all grams stand in one place only and end here
     grams = every.groupBy("gram").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1).cast("int")).alias("places")).where("places > 1").select("gram")
     early, late = Stash(docs.sparkSession), Stash(docs.sparkSession)
+    # what a join gets from an aggregation is stored first: the join then deals both sides itself, and Spark can split a hot key
+    grams = early.put(grams)
     found = early.put(every.join(grams, "gram", "left_semi"))
     first = early.put(found.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("n").alias("n"), F.max("twice").alias("again"), F.count("*").alias("copies")))
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
@@ -160,6 +162,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     opened = late.put(windows(docs.join(spans, "doc_id")))
     early.drop()
     earliest = opened.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("_n")).where("_n > 1")
+    earliest = late.put(earliest)
     single = opened.join(earliest, ["one", "two"]).where(later).select("doc_id", "start", F.lit(1).alias("n"))
     out = cut(whole.unionByName(single))
     late.drop()
