@@ -98,22 +98,21 @@ def counts(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """What every task needs to know of the vocabulary; of fixed size."""
 
-    def __init__(self, head: list, n: int, v: int, by_prefix: list):
+    def __init__(self, head: pa.Table, n: int, v: int, by_prefix: list):
         self.n, self.v = n, v
         self.total = n + ALPHA * (v + 1)
+        h, prefixes, c = (head.column(x).to_numpy() for x in ("h", "prefix", "c"))
+        order = np.lexsort((h, -c))
+        h, prefixes, c = h[order].view(np.uint64), prefixes[order], c[order]
+        # of two words in a slot the commoner stays, the other is joined
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        rank = np.sort(np.unique(at, return_index=True)[1])
+        hashes, c = h[rank], c[rank]
         self.slot = np.full(SLOTS, -1, dtype=np.int32)
-        hashes, c, ranks = [], [], []
-        for rank, (h, _, k) in enumerate(head):  # of two words in a slot the commoner stays, the other is joined
-            h &= 0xFFFFFFFFFFFFFFFF
-            at = h & (SLOTS - 1)
-            if self.slot[at] < 0:
-                self.slot[at] = len(hashes)
-                hashes.append(h)
-                c.append(k)
-                ranks.append(rank)
-        self.hash = np.array(hashes or [0], dtype=np.uint64)
-        self.count = np.array(c or [0], dtype=np.int64)
-        self.near = np.array([r + CLASSES if r < NEAR else -1 for r in ranks] or [-1], dtype=np.int32)
+        self.slot[at[rank]] = np.arange(len(rank))
+        self.hash = hashes if len(rank) else np.zeros(1, dtype=np.uint64)
+        self.count = c if len(rank) else np.zeros(1, dtype=np.int64)
+        self.near = np.where(rank < NEAR, rank + CLASSES, -1).astype(np.int32) if len(rank) else np.full(1, -1, dtype=np.int32)
         # classes: 0 the end, then common words, common beginnings, and the others by hash of the beginning
         self.word_class = np.full(len(self.hash), -1, dtype=np.int32)
         self.prefix_class = WORD_CLASSES + PREFIX_CLASSES + np.arange(1 << 16, dtype=np.int32) * 40503 % (1 << 16) % (CLASSES - WORD_CLASSES - PREFIX_CLASSES)
@@ -122,14 +121,13 @@ class Lexicon:
             mass[prefix], kinds[prefix] = tokens, words
         self.mass, self.kinds = np.zeros(CLASSES), np.zeros(CLASSES)
         k = 1
-        for i, h in enumerate(self.hash.tolist()):
-            if not hashes or (h != int(END) and k >= WORD_CLASSES):
-                continue
-            own = 0 if h == int(END) else k
-            k += h != int(END)
+        common = np.flatnonzero(hashes != END)[: WORD_CLASSES - 1]
+        for i in [*np.flatnonzero(hashes == END), *common]:
+            own = 0 if hashes[i] == END else k
+            k += hashes[i] != END
             self.word_class[i] = own
             self.mass[own], self.kinds[own] = self.count[i], 1
-            prefix = next(p for x, p, _ in head if x & 0xFFFFFFFFFFFFFFFF == h)
+            prefix = prefixes[rank[i]]
             mass[prefix] -= self.count[i]
             kinds[prefix] -= 1
         for j, p in enumerate(np.argsort(-mass, kind="stable")[:PREFIX_CLASSES]):
@@ -137,8 +135,8 @@ class Lexicon:
         self.mass += np.bincount(self.prefix_class, weights=mass, minlength=CLASSES)
         self.kinds += np.bincount(self.prefix_class, weights=kinds, minlength=CLASSES)
         self.within = np.log10(self.mass + ALPHA * (self.kinds + 1))
-        self.log_base = np.log10((self.count + ALPHA) / self.total) if hashes else np.zeros(1)
-        self.known = bool(hashes)
+        self.log_base = np.log10((self.count + ALPHA) / self.total) if len(rank) else np.zeros(1)
+        self.known = len(rank) > 0
 
     def find(self, tokens: Tokens) -> np.ndarray:
         """Place in the head, or -1."""
@@ -250,14 +248,39 @@ def train(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+def commonest(vocabulary: DataFrame, most: int = HEAD) -> pa.Table:
+    """h, prefix, c of the commonest words, ``most`` at most, and the end.
+
+    A histogram over ranges of counts, and inside the last of them over ranges
+    of hashes, tells where to stop; then only the words that are wanted come.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    part = F.shiftrightunsigned("h", 54).cast("int")
+    cut_at, room = 1 << 30, most
+    sizes = vocabulary.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # 512 rows at most
+    over = None
+    for r in sizes:
+        if r["count"] > room:
+            over = r["level"]
+            break
+        cut_at, room = r["level"], room - r["count"]
+    wanted = (level >= cut_at) | (F.col("h") == int(END.view(np.int64)))
+    if over is not None:
+        upto = -1
+        for r in vocabulary.where(level == over).groupBy(part.alias("part")).count().orderBy("part").collect():  # 1,024 rows at most
+            if r["count"] > room:
+                break
+            upto, room = r["part"], room - r["count"]
+        wanted |= (level == over) & (part <= upto)
+    return vocabulary.where(wanted).select("h", "prefix", "c").toArrow()
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     docs = spread(docs.select("doc_id", "text"))
     vocabulary = cut(counts(docs))
     n, v = vocabulary.agg(F.sum("c"), F.count("*")).first()
-    head = [tuple(r) for r in vocabulary.orderBy(F.desc("c"), "h").limit(HEAD).collect()]
-    if n and not any(h & 0xFFFFFFFFFFFFFFFF == int(END) for h, _, _ in head):
-        head = [tuple(vocabulary.where(F.col("h") == int(END.view(np.int64))).first()), *head]
+    head = commonest(vocabulary)
     by_prefix = [tuple(r) for r in vocabulary.groupBy("prefix").agg(F.sum("c"), F.count("*")).collect()]  # 65,536 rows at most
     lexicon = Lexicon(head, n or 0, v or 0, by_prefix)
     del head
