@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; choose one only where none is set."""
+    """Use the folder in ``spark.checkpoint.dir``; choose one only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="strandwise-checkpoint-"))
 
 
@@ -59,6 +61,7 @@ class Stash:
     """Tables written as Parquet to the shared checkpoint folder, removed when they have served.
 
     Like ``cut``, for larger tables: Parquet takes about a third of a checkpoint's bytes.
+    As a context it removes them in any case, failures included.
     """
 
     def __init__(self, spark: SparkSession):
@@ -78,10 +81,20 @@ class Stash:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Stash:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def drop(self) -> None:
         """All of them; nothing may read them any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.top)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -146,10 +159,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def is_null_safe_equal(a, b):
-    return a.eqNullSafe(b)
-
-
 def crc_of_id(column: str = "doc_id"):
     """CRC-32 of the id written as decimal text, unsigned."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

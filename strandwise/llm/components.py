@@ -19,7 +19,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         around = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
     else:
         around = links
-    least = around.groupBy("node").agg(F.min("other").alias("low")).withColumn("low", F.least("low", "node"))
+    # stored first: the join then deals both sides itself, and Spark can split a node that most links name
+    least = cut(around.groupBy("node").agg(F.min("other").alias("low")).withColumn("low", F.least("low", "node")), free=False)
     moved = around.join(least, "node")
     if large:
         out = moved.where("other > node").select(F.col("other").alias("node"), F.col("low").alias("other"))
@@ -38,7 +39,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).distinct())
     seen = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(cut(_star(now, True), free=False), False))
         sign = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "other")).alias("x")).first()
         if tuple(sign) == seen or not sign["n"]:
             return now.select("node", F.col("other").alias("component"))

@@ -21,9 +21,10 @@ expansion and one short row for each of them. All counts and minima combine
 before they are shuffled.
 
 Null texts have no words. Rows with a null id are left as they are and are no
-source. Rows that repeat an id are treated alike, and a row never repeats
-itself. Documents under a window's length lose nothing. Empty tables give no
-rows.
+source. A document is an id with a text: rows that repeat both are one document
+and are treated alike; rows of one id and several texts are documents of their
+own, ties between them going by their texts' hashes. Documents under a window's length
+lose nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -83,8 +84,17 @@ class Words:
         self.doc = np.repeat(np.arange(len(docs)), self.count)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, _text (its text's hash), text: the key of a document, as ids may repeat."""
+    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+
+
+#: A place: smaller ones are earlier.
+_PLACE = ("doc_id", "start", "_text")
+
+
 def paths(docs: DataFrame) -> DataFrame:
-    """Compacted paths: gram, body (content hash), doc_id, start, n (windows), twice.
+    """Compacted paths: gram, body (content hash), doc_id, _text, start, n (windows), twice.
 
     ``twice``: the gram occurs again inside, so windows of the path may be equal.
     """
@@ -94,7 +104,7 @@ def paths(docs: DataFrame) -> DataFrame:
         n = len(words.hashes) - WINDOW + 1
         if n < 1:
             return None
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_text"))
         rolling = Rolling(words.hashes, _BASE[0])
         at = np.arange(len(words.hashes) - GRAM + 1)
         grams = rolling.span(at, at + GRAM)
@@ -119,13 +129,13 @@ def paths(docs: DataFrame) -> DataFrame:
         body = rolling.span(begin, end + WINDOW - 1) ^ _mix(length.astype(np.uint64))
         many = np.maximum.reduceat(twice, begin) > 1
         doc = words.doc[begin]
-        return least[begin].view(np.int64), body.view(np.int64), ids[doc], (begin - words.first[doc]).astype(np.int32), length.astype(np.int32), many | (length > SPAN)
+        return least[begin].view(np.int64), body.view(np.int64), ids[doc], keys[doc], (begin - words.first[doc]).astype(np.int32), length.astype(np.int32), many | (length > SPAN)
 
-    return map_texts(docs.where("doc_id is not null").select("doc_id", "text"), "text", "gram long, body long, doc_id long, start int, n int, twice boolean", work, _SLICE)
+    return map_texts(docs.where("doc_id is not null"), "text", "gram long, body long, doc_id long, _text long, start int, n int, twice boolean", work, _SLICE)
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """Windows of documents with ``spans`` (start, n): two hashes, doc_id, start."""
+    """Windows of documents with ``spans`` (start, n): two hashes and their place."""
 
     def work(batch):
         words = Words(texts(batch))
@@ -137,46 +147,44 @@ def windows(docs: DataFrame) -> DataFrame:
         starts = np.repeat(np.array(begin) - np.cumsum(length) + length, length) + np.arange(length.sum())
         one, two = (Rolling(words.hashes, b).span(starts, starts + WINDOW).view(np.int64) for b in _BASE)
         doc = words.doc[starts]
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        return one, two, ids[doc], (starts - words.first[doc]).astype(np.int32)
+        ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_text"))
+        return one, two, ids[doc], keys[doc], (starts - words.first[doc]).astype(np.int32)
 
-    return map_texts(docs, "text", "one long, two long, doc_id long, start int", work, _SLICE)
+    return map_texts(docs, "text", "one long, two long, doc_id long, _text long, start int", work, _SLICE)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n: runs of windows that also start earlier."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, _text, start, n: runs of windows that also start earlier."""
+    docs = keyed(docs)
     every = paths(docs)
     # counting alone first, in the shortest rows: nearly all grams stand in one place only and end here
     grams = every.groupBy("gram").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1).cast("int")).alias("places")).where("places > 1").select("gram")
-    early, late = Stash(docs.sparkSession), Stash(docs.sparkSession)
-    # what a join gets from an aggregation is stored first: the join then deals both sides itself, and Spark can split a hot key
-    grams = early.put(grams)
-    found = early.put(every.join(grams, "gram", "left_semi"))
-    first = early.put(found.groupBy("gram", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("n").alias("n"), F.max("twice").alias("again"), F.count("*").alias("copies")))
-    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    whole = late.put(found.join(first.where("copies > 1").select("gram", "body", "first"), ["gram", "body"]).where(later).select("doc_id", "start", "n"))
-    named = first.groupBy("gram").agg((F.min("body") != F.max("body")).alias("branching"), F.max("again").alias("again")).where("branching or again").select("gram")
-    open_ = first.join(named, "gram", "left_semi").select("first.doc_id", "first.start", "n")
-    spans = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    opened = late.put(windows(docs.join(spans, "doc_id")))
-    early.drop()
-    earliest = opened.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("_n")).where("_n > 1")
-    earliest = late.put(earliest)
-    single = opened.join(earliest, ["one", "two"]).where(later).select("doc_id", "start", F.lit(1).alias("n"))
-    out = cut(whole.unionByName(single))
-    late.drop()
-    return out
+    least = F.min(F.struct(*_PLACE)).alias("first")
+    later = F.struct(*_PLACE) != F.col("first")
+    with Stash(docs.sparkSession) as late:
+        with Stash(docs.sparkSession) as early:
+            # what a join gets from an aggregation is stored first: the join then deals both sides itself, and Spark can split a hot key
+            grams = early.put(grams)
+            found = early.put(every.join(grams, "gram", "left_semi"))
+            first = early.put(found.groupBy("gram", "body").agg(least, F.min("n").alias("n"), F.max("twice").alias("again"), F.count("*").alias("copies")))
+            whole = late.put(found.join(first.where("copies > 1").select("gram", "body", "first"), ["gram", "body"]).where(later).select(*_PLACE, "n"))
+            named = early.put(first.groupBy("gram").agg((F.min("body") != F.max("body")).alias("branching"), F.max("again").alias("again")).where("branching or again").select("gram"))
+            open_ = first.join(named, "gram", "left_semi").select("first.*", "n")
+            spans = open_.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+            opened = late.put(windows(docs.join(spans, ["doc_id", "_text"])))
+        earliest = late.put(opened.groupBy("one", "two").agg(least, F.count("*").alias("_n")).where("_n > 1"))
+        single = opened.join(earliest, ["one", "two"]).where(later).select(*_PLACE, F.lit(1).alias("n"))
+        return cut(whole.unionByName(single))
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: binary of int32 pairs (start, n), null if nothing repeats.
+    """``docs`` with ``_spans``: an array of (start, n), null if nothing repeats.
 
     A document's runs are at most as many as its words.
     """
     runs = repeats(spread(docs))
-    mine = runs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    return docs.join(mine, docs["doc_id"] == mine["_id"], "left").drop("_id")
+    mine = runs.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    return docs.join(mine, (docs["doc_id"] == mine["_id"]) & (F.xxhash64(docs["text"]) == mine["_key"]), "left").drop("_id", "_key")
 
 
 def kept_words(words: list[bytes], spans: list[dict] | None) -> list[bytes]:

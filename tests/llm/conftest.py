@@ -28,6 +28,8 @@ def odd_rows(seed=5):
     out += [(120 + i, " ".join([*near[: 10 + i], "changed", *near[11 + i :]])) for i in range(5)]
     out += [(130, None), (131, ""), (132, " \t\n"), (133, "one"), (134, "two words"), (135, "a b c"), (136, "the the the the the the the the the the the the the the the the the the the the the the the the")]
     out += [(140, words(rng, 30_000, vocabulary)), (141, "x" * 200_000), (None, copied), (None, "no id here"), (150, "tie one two three"), (151, "tie one two three"), (-3, "a negative id"), (2**40, "a large id")]
+    # repeated rows with an id, and rows of one id that differ
+    out += [out[60], out[3], out[3], (61, words(rng, 50, vocabulary)), (71, copied + " " + words(rng, 40, vocabulary))]
     return out
 
 

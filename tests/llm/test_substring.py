@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from strandwise.llm import substring as B
 
@@ -11,18 +12,19 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(pairs):
-    """For each row whether each word goes; rows of null id keep all."""
-    first, split = {}, [(i, WORD.findall(t or "")) for i, t in pairs]
-    for i, ws in sorted((x for x in split if x[0] is not None), key=lambda x: x[0]):
-        for s in range(len(ws) - 19):
+    """For each row whether each word goes; rows of null id keep all, rows of one id and one text are one document."""
+    key = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)
+    first, split = {}, [(i, key(t), WORD.findall(t or "")) for i, t in pairs]
+    for i, k, ws in split:
+        for s in range(len(ws) - 19 if i is not None else 0):
             w = tuple(ws[s : s + 20])
-            first[w] = min(first.get(w, (i, s)), (i, s))
+            first[w] = min(first.get(w, (i, s, k)), (i, s, k))
     out = []
-    for i, ws in split:
+    for i, k, ws in split:
         gone = [False] * len(ws)
         if i is not None:
             for s in range(len(ws) - 19):
-                if first[tuple(ws[s : s + 20])] < (i, s):
+                if first[tuple(ws[s : s + 20])] < (i, s, k):
                     gone[s : s + 20] = [True] * 20
         out.append((i, ws, gone))
     return out
@@ -64,7 +66,8 @@ def test_agrees_with_its_sql(spark, put):
 
     from .conftest import odd_rows
 
-    pairs = [p for p in odd_rows() if p[0] is not None and len(p[1] or "") < 100_000]
+    # the SQL takes ids as unique
+    pairs = list({p[0]: p for p in odd_rows() if p[0] is not None and len(p[1] or "") < 100_000}.values())
     folder = put(pairs)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
@@ -84,3 +87,14 @@ def test_remove_keeps_columns_and_other_texts(spark, case):
     assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
     if "_spans" in docs.columns:
         assert all(r._spans.startswith("_spans") for r in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_rows_of_one_id_keep_what_is_their_own(spark, put, parts):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 60), ("b", 40), ("c", 30)))
+    pairs = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, f"{c} {b}")]
+    folder = put(pairs, parts=parts)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in B.op8_substring(spark, folder).collect())
+    assert got == Counter([(1, 60, 0), (2, 60, 60), (2, 40, 0), (3, 30, 0), (3, 30, 0), (4, 70, 70)])
+    kept = Counter((r.doc_id, r.text) for r in B.remove_repeats(spark.read.parquet(f"{folder}/documents.parquet")).collect())
+    assert kept == Counter([(1, a), (2, ""), (2, b), (3, c), (3, c), (4, "")])
