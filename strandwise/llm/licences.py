@@ -3,13 +3,16 @@
 One automaton finds notice phrases as consecutive words; a second finds
 identifier tags in the raw text. What follows a tag is read as a licence
 expression: identifiers joined by ``and``, ``or``, ``with`` and parentheses.
-A shunting-yard parser turns it into postfix order and evaluates it over the
-sets of licences that would satisfy it.
+A shunting-yard parser turns it into postfix order, over which one pass tells
+whether some open choice of licences satisfies it; expressions may be of any
+length.
 
 Null and empty texts have no words and no labels. A malformed expression gives
-the identifiers that it names. Repeated rows are scanned alike; empty tables
-give no rows; other columns are ignored. Whole texts are scanned, and places
-are counted without a bound.
+the identifiers that it names and is not open. Repeated rows are scanned alike;
+empty tables give no rows; other columns are ignored. Whole texts are scanned,
+and places are counted without a bound. The score is e / (1 + e) of the
+evidence e: one for each place of a phrase and each expression that names a
+known licence, a quarter for an expression that names none.
 """
 
 from __future__ import annotations
@@ -93,29 +96,32 @@ def postfix(expression: str) -> list[str]:
     return out + stack[::-1]
 
 
-def choices(expression: str) -> set[frozenset[str]]:
-    """The smallest sets of licences that satisfy an expression; ``x with y`` is one licence."""
-    stack: list[set[frozenset[str]]] = []
+def evaluate(expression: str) -> tuple[bool, list[str]]:
+    """(whether an open choice satisfies the expression, its licences in order).
+
+    ``x with y`` is as open as x, and y is an exception and no licence. Linear in
+    the expression's length. Raises ValueError where it is malformed.
+    """
+    stack: list[tuple[bool, int]] = []  # open, number of the first identifier
+    names: list[str] = []
+    exception: list[bool] = []
     for token in postfix(expression):
         if token not in _RANK:
-            stack.append({frozenset([token])})
+            stack.append((label(token) in OPEN, len(names)))
+            names.append(token)
+            exception.append(False)
             continue
-        b, a = stack.pop(), stack.pop()
-        if token == "or":
-            both = a | b
-        elif token == "and":
-            both = {x | y for x in a for y in b}
+        (b, at), (a, first) = stack.pop(), stack.pop()
+        if token == "with":
+            exception[at:] = [True] * (len(names) - at)
+            stack.append((a, first))
         else:
-            both = {frozenset(f"{p} with {q}" for p in x for q in y) for x in a for y in b}
-        if len(both) > 64:
-            raise ValueError("too many alternatives")
-        stack.append({x for x in both if not any(y < x for y in both)})
-    return stack[0]
+            stack.append((a or b if token == "or" else a and b, first))
+    return stack[0][0], [n for n, gone in zip(names, exception, strict=True) if not gone]
 
 
 def label(identifier: str) -> str | None:
-    head = identifier.split(" with ")[0]
-    return next((name for prefix, name in FAMILIES if head.startswith(prefix)), None)
+    return next((name for prefix, name in FAMILIES if identifier.startswith(prefix)), None)
 
 
 @lru_cache(maxsize=1)
@@ -178,10 +184,12 @@ def scan(text: bytes) -> tuple:
     base: set[str] = set()
     found: set[str] = set()
     starts: list[int] = []
+    places: set[int] = set()
     if words:
         line = b" ".join([b"", *words, b""]).decode()
         for end, (size, name, is_base) in automata()[0].iter(line):
             found.add(name)
+            places.add(end + 1 - size)
             if is_base:
                 base.add(name)
                 starts.append(end + 1 - size)
@@ -193,18 +201,18 @@ def scan(text: bytes) -> tuple:
             done = s
             at.append(count)
     said = expressions(text)
-    free = [False]
+    free, evidence = False, float(len(places))
     for x in said:
         try:
-            sets = choices(x)
-            free.append(any(all(label(i) in OPEN for i in s) for s in sets))
-            names = {i for s in sets for i in s}
+            own, names = evaluate(x)
+            free |= own
         except ValueError:
-            names = {t for t in _TOKEN.findall(x) if t not in _RANK and t not in "()"}
-        found |= {n for n in map(label, names) if n}
-    hits = len(at) + len(said)
-    score = 1 - 0.5 ** min(hits, 50) if hits else 0.25 * bool(found)
-    return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(base)), ",".join(sorted(found)), score, any(free), said
+            names = [t for t in _TOKEN.findall(x) if t not in _RANK and t not in "()"]
+        known = {n for n in map(label, names) if n}
+        found |= known
+        evidence += 1.0 if known else 0.25
+    score = evidence / (1 + evidence)
+    return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(base)), ",".join(sorted(found)), score, free, said
 
 
 def scans(docs: DataFrame) -> DataFrame:

@@ -50,3 +50,54 @@ def test_empty_table(spark, tmp_path):
 
     pq.write_table(pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string())}), tmp_path / "pages.parquet")
     assert X.op5_extraction(spark, str(tmp_path)).collect() == []
+
+
+def test_article_text_stays():
+    html = (
+        f"<article><p>{ART}</p><p class='related'>Related work is this.</p><p class='notice'>A notice in law is this.</p><section class='discussion'><h2>Discussion</h2><p>We discuss.</p></section>"
+        "<h2>References</h2><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>"
+        "<div class='related'><a href=1>More like this</a></div><div class='notice'>We use storage.</div><div class='comments'><p>I say</p></div></article>"
+    )
+    assert X.extract(html).split("\n") == [ART, "Related work is this.", "A notice in law is this.", "Discussion", "We discuss.", "References", "One", "Two", "Three"]
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>"
+    assert X.extract(f"<div>{menu}<p>{ART}</p><p>{ART}</p></div>") == f"{ART}\n{ART}"
+
+
+@pytest.mark.parametrize("piece", ["<b>x ", "<li><b>x ", "<p><i>x ", "<td><span>x ", "</i><b>x "])
+def test_unclosed_tags_cost_linear_time(piece):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        assert X.extract(piece * n).count("x") == n
+        return time.process_time() - t
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.02)
+
+
+def second_reading(html):
+    """The article of a page by patterns alone; for pages with one article whose inner parts are not nested."""
+    import html as H
+    import re
+
+    body = re.sub(r"(?is)<!--.*?-->|<(script|style|aside|form|nav|noscript|button)\b.*?</\1>", " ", html)
+    body = re.search(r"(?is)<article\b[^>]*>(.*?)(</article>|<footer\b|</body>|$)", body)[1]
+    body = re.sub(r"""(?is)<div class=["']?ad["']?[^>]*>.*?</div>""", " ", body)
+    blocks = re.split(r"(?i)</?(?:p|h[1-6]|ul|ol|li|blockquote|pre|table|tr|td|th|div|section|header|figure|figcaption|article)\b[^>]*>", re.sub(r"(?i)<br\s*/?>", " ", body))
+    lines = (" ".join(H.unescape(re.sub(r"(?s)<[^>]+>", "", b)).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+def test_given_pages_by_a_second_reading():
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no given tables")
+    pages = [h for h in pq.read_table(path).column("html").to_pylist() if h and h.count("<article") == 1]
+    assert len(pages) > 100
+    wrong = [h for h in pages if X.extract(h) != second_reading(h)]
+    assert not wrong, (len(wrong), X.extract(wrong[0]), second_reading(wrong[0]))

@@ -1,4 +1,3 @@
-import itertools
 import random
 import re
 from collections import Counter
@@ -61,17 +60,33 @@ def test_malformed(text):
         L.postfix(text)
 
 
-def test_choices_against_truth_tables():
+def test_open_against_truth_tables():
     rng = random.Random(1)
+    names = {"mit": True, "isc": True, "gpl-3.0": False, "epl-2.0": False}
 
     def build(depth):
         if depth == 0 or rng.random() < 0.3:
-            return rng.choice("abcd")
+            return rng.choice(list(names)) + rng.choice(["", "", " with some-exception"])
         return f"({build(depth - 1)} {rng.choice(['and', 'or'])} {build(depth - 1)})"
 
-    for _ in range(100):
+    for _ in range(200):
         e = build(4)
-        sets = L.choices(e)
-        for held in itertools.chain.from_iterable(itertools.combinations("abcd", n) for n in range(5)):
-            truth = eval(re.sub(r"\b[a-d]\b", lambda m: str(m[0] in held), e))
-            assert any(s <= set(held) for s in sets) == truth
+        plain = e.replace(" with some-exception", "")
+        truth = eval(re.sub(r"[a-z][a-z0-9.-]*", lambda m: m[0] if m[0] in ("and", "or") else str(names[m[0]]), plain))
+        assert L.evaluate(e) == (truth, [n for n in re.findall(r"[a-z][a-z0-9.-]*", plain) if n in names])
+
+
+def test_long_expressions():
+    many = " and ".join(["(mit or gpl-2.0)"] * 400)
+    assert L.evaluate(many)[0] and not L.evaluate(many + " and gpl-2.0")[0]
+    assert L.evaluate(" or ".join(["gpl-2.0"] * 3000 + ["mit"]))[0]
+    assert L.evaluate("mit or (mit and gpl-2.0)") == (True, ["mit", "mit", "gpl-2.0"])
+    got = L.scan(f"License: {many}".encode())
+    assert got[7] and got[5] == "gpl,mit"
+
+
+def test_score_follows_the_evidence():
+    score = lambda t: L.scan(t.encode())[6]
+    assert score("nothing here") == 0
+    assert 0 < score("license: whatever") < score("mit license") < score("mit license. " * 10) < score("mit license. " * 1000) < 1
+    assert score("all rights reserved " * 60) < score("all rights reserved " * 61)
