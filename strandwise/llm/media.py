@@ -2,14 +2,19 @@
 
 ``parse`` reads HTML into one ordered list of elements: text, and references to
 media by digest with their captions. ``resolve`` joins references with a store
-of payloads by digest and puts the sequence together again in its positions.
+by digest and puts the sequence together again in its positions. Which columns
+of the store go along is the caller's choice: payloads, or what is known of
+them, so that bytes which thousands of documents share need not be copied.
 
-``store`` keeps a payload as a binary greymap: 8-bit samples in rows of 24, so
+``stored`` keeps a payload as a binary greymap: 8-bit samples in rows of 24, so
 a payload is a multiple of 576 bytes; the sample bytes are read back from the
 stored form, and all features come from what is read.
 
 Null and empty HTML has no elements. A reference whose digest is not in the
-store stays in its place with a null payload. Repeated rows are sequences of
+store, or that names none, stays in its place with a null payload. A figure's
+caption is that of the innermost figure; media of inner figures without one
+take it too. A caption that is left open ends with its figure, or with the
+page. Repeated rows are sequences of
 their own; a digest stored twice resolves once, as equal digests are equal
 payloads. Empty tables give no rows. Columns of other names are ignored.
 """
@@ -29,7 +34,7 @@ from .common import map_texts, spread, table, texts
 
 SIDE = 24
 UNIT = SIDE * SIDE
-ELEMENT = "position int, kind string, text string, digest string, caption string"
+ELEMENT = "position int, kind string, text string, digest string, source string, caption string"
 _BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th section article blockquote pre br hr figure main".split())
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "source", "embed": "embed"}
 _SILENT = frozenset(("script", "style", "template", "noscript"))
@@ -41,60 +46,70 @@ class _Reader(HTMLParser):
         self.out: list[dict] = []
         self.said: list[str] = []
         self.silent = 0
-        self.caption: list[str] | None = None
-        self.figure: list[int] | None = None
+        #: Open figures: the first of their elements, what their caption says so far, and whether it is open.
+        self.figures: list[list] = []
 
     def flush(self):
-        if text := " ".join("".join(self.said).split()):
-            self.out.append({"kind": "text", "text": text, "digest": None, "caption": None})
-        self.said = []
+        text, self.said = " ".join("".join(self.said).split()), []
+        if not text:
+            return
+        if self.figures and self.figures[-1][2]:
+            self.figures[-1][1].append(text)
+        else:
+            self.out.append({"kind": "text", "text": text, "digest": None, "source": None, "caption": None})
+
+    def end_caption(self):
+        self.flush()
+        if self.figures:
+            self.figures[-1][2] = False
+
+    def end_figure(self):
+        self.end_caption()
+        first, said, _ = self.figures.pop()
+        caption = " ".join(said)
+        media = [e for e in self.out[first:] if e["kind"] != "text"]
+        for e in media:
+            if caption and not e.pop("captioned", False):
+                e["caption"] = caption
+            e["captioned"] = bool(caption) or e.get("captioned", False)
+        if caption and not media:
+            self.out.append({"kind": "text", "text": caption, "digest": None, "source": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self.silent += 1
-        if tag == "figcaption":
-            self.flush()
-            self.caption = []
-            return
-        if tag in _BLOCKS:
+        if tag in _BLOCKS or tag in _MEDIA or tag == "figcaption":
             self.flush()
+        if tag == "figcaption" and self.figures:
+            self.figures[-1][2] = True
         if tag == "figure":
-            self.figure = []
+            self.end_caption()
+            self.figures.append([len(self.out), [], False])
         if tag in _MEDIA:
             a = {k: v or "" for k, v in attrs}
-            source = a.get("data-digest") or a.get("src", "")
-            self.flush()
-            if self.figure is not None:
-                self.figure.append(len(self.out))
-            digest = source.removeprefix("sha256:").lower() if source.startswith("sha256:") or a.get("data-digest") else hashlib.sha256(source.encode()).hexdigest()
-            self.out.append({"kind": _MEDIA[tag], "text": None, "digest": digest, "caption": a.get("alt") or None})
+            source = a.get("src", "")
+            digest = a.get("data-digest") or (source if source.startswith("sha256:") else "")
+            self.out.append({"kind": _MEDIA[tag], "text": None, "digest": digest.removeprefix("sha256:").lower() or None, "source": source or None, "caption": a.get("alt") or None})
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            self.noted = said
-            for i in self.figure or ():
-                self.out[i]["caption"] = said or self.out[i]["caption"]
-            if not self.figure and said:  # a caption before its media, or of none
-                self.late = said
-        if tag == "figure":
-            self.flush()
-            late = getattr(self, "late", None)
-            for i in self.figure or ():
-                if late and self.out[i]["caption"] is None:
-                    self.out[i]["caption"] = late
-            if late and not self.figure:
-                self.out.append({"kind": "text", "text": late, "digest": None, "caption": None})
-            self.figure, self.late = None, None
-        if tag in _BLOCKS:
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in _BLOCKS:
             self.flush()
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        (self.said if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            self.said.append(data)
+
+    def close(self):
+        super().close()
+        while self.figures:
+            self.end_figure()
+        self.flush()
 
 
 def parse(html: str | None) -> list[dict]:
@@ -102,10 +117,7 @@ def parse(html: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    if reader.caption is not None:
-        reader.said += reader.caption
-    reader.flush()
-    return [{"position": i, **x} for i, x in enumerate(reader.out)]
+    return [{"position": i, **{k: v for k, v in x.items() if k != "captioned"}} for i, x in enumerate(reader.out)]
 
 
 def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -126,9 +138,10 @@ def resolve(found: DataFrame, store: DataFrame, key: str, columns: list[str]) ->
     store's side has one row for it.
     """
     rows = found.withColumn("_row", F.monotonically_increasing_id()).select(key, "_row", F.explode_outer("elements").alias("e")).select(key, "_row", "e.*")
-    single = store.groupBy("digest").agg(*(F.first(c).alias(c) for c in columns)).select(F.col("digest").alias("_digest"), F.struct(*columns).alias("media"))
+    # dealt by another column, so that the join deals both sides itself and Spark can split a digest that many rows name
+    single = store.groupBy("digest").agg(*(F.min(c).alias(c) for c in columns)).repartition(columns[0]).select(F.col("digest").alias("_digest"), F.struct(*columns).alias("media"))
     joined = rows.join(single, rows["digest"] == single["_digest"], "left")
-    element = F.struct("position", "kind", "text", "digest", "caption", "media")
+    element = F.struct("position", "kind", "text", "digest", "source", "caption", "media")
     packed = joined.groupBy(key, "_row").agg(F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), element))).alias("elements"))
     return packed.drop("_row")
 
@@ -177,24 +190,27 @@ def stored(docs: DataFrame, keep: bool = False) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), "text", schema, work)
 
 
+def as_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, html: a page for each row that tells its length and shows one figure, whose payload is its text and whose caption its id."""
+
+    def work(batch):
+        ids = batch.column("doc_id")
+        own = texts(batch)
+        html = [f'<p>{len(t)}</p><figure><img src="sha256:{hashlib.sha256(payload(t)).hexdigest()}"><figcaption>{"" if i is None else i}</figcaption></figure>' for i, t in zip(ids.to_pylist(), own, strict=True)]
+        return ids, html
+
+    return map_texts(docs, "text", "doc_id long, html string", work)
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a sequence of one captioned figure whose payload is its text, resolved by digest."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Each document as a page of text and a captioned figure, parsed to its sequence and resolved by digest.
 
-    def refer(batch):
-        ids, sizes, digests, captions = [], [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            page = parse(f'<figure><img src="sha256:{hashlib.sha256(payload(text)).hexdigest()}"><figcaption>{doc}</figcaption></figure>')
-            for e in page:
-                ids.append(doc)
-                sizes.append(len(text))
-                digests.append(e["digest"])
-                captions.append(e["caption"])
-        return ids, sizes, digests, captions
-
-    names = ["payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    references = map_texts(docs, "text", "doc_id long, n_bytes long, digest string, caption string", refer)
-    # dealt by another column, so that the join deals both sides itself and Spark can split a digest that many rows name
-    store = stored(docs).groupBy("digest").agg(*(F.min(c).alias(c) for c in names)).repartition("media_sha256").select(F.col("digest").alias("payload_sha256"), *names)
-    out = references.join(store, references["digest"] == store["payload_sha256"])
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    What the store knows of a payload goes along and not its bytes: they would
+    cross two shuffles more, and a payload that a third of all documents share
+    would be copied as often.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["media_sha256", "payload_bytes", "tail_crc32", "media_bytes", "feature"]
+    found = resolve(sequences(as_pages(docs), "doc_id", "html"), stored(docs), "doc_id", names)
+    text, figure = F.get("elements", F.lit(0)), F.get("elements", F.lit(1))
+    return found.select("doc_id", text["text"].cast("long").alias("n_bytes"), figure["digest"].alias("payload_sha256"), *(figure["media"][c].alias(c) for c in names), figure["caption"].alias("caption"))

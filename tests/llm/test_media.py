@@ -2,7 +2,7 @@ import hashlib
 import zlib
 from collections import Counter
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandwise.llm import media
@@ -18,7 +18,15 @@ def test_query(spark, case):
     folder, pairs = case
     got = media.op1_media(spark, folder).collect()
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == Counter((i, *expected(t)) for i, t in pairs)
-    assert all(r.media_bytes > r.payload_bytes and r.feature.startswith("24x") for r in got)
+    assert all(r.feature.startswith("24x") and r.caption == (None if r.doc_id is None else str(r.doc_id)) for r in got)
+    # the stored form by hand: a greymap of 24 columns
+    by = {expected(t)[2]: (t or "").encode() for _, t in pairs}
+    for r in got:
+        body = by[r.payload_sha256] + b"\xff" * (r.payload_bytes - r.n_bytes)
+        stored = f"P5\n24 {len(body) // 24}\n255\n".encode() + body
+        x = np.frombuffer(body, np.uint8).astype(float)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == f"24x{len(body) // 24};mean={x.mean():.4f};std={x.std():.4f};white={(x == 255).mean():.6f}"
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
 
 
@@ -35,7 +43,8 @@ def test_parse_keeps_order_and_captions():
     got = media.parse(html)
     assert [e["position"] for e in got] == list(range(5))
     assert [(e["kind"], e["text"], e["caption"]) for e in got] == [("text", "one", None), ("image", None, "cap bold"), ("text", "two", None), ("image", None, "x"), ("text", "three", None)]
-    assert got[1]["digest"] == hashlib.sha256(b"a.png").hexdigest()
+    assert (got[1]["digest"], got[1]["source"]) == (None, "a.png")
+    assert media.parse('<img src="sha256:AB">')[0]["digest"] == media.parse('<img data-digest="ab">')[0]["digest"] == "ab"
     assert media.parse(None) == media.parse("") == []
 
 
@@ -44,6 +53,16 @@ def test_caption_before_media_and_two_media():
     assert [(e["kind"], e["caption"]) for e in got] == [("image", "c"), ("image", "c")]
 
 
+def test_open_captions_and_nested_figures():
+    brief = lambda html: [(e["kind"], e["text"], e["caption"]) for e in media.parse(html)]
+    assert brief('<figure><img src=1><figcaption>cap</figure>after<p>more') == [("image", None, "cap"), ("text", "after", None), ("text", "more", None)]
+    assert brief('<figure><img src=1 alt=a><figcaption>cap <p>two') == [("image", None, "cap two")]
+    nested = "<figure><figure><img src=1><figcaption>in</figcaption></figure><figure><img src=2></figure><img src=3><figcaption>out</figcaption></figure>end"
+    assert brief(nested) == [("image", None, "in"), ("image", None, "out"), ("image", None, "out"), ("text", "end", None)]
+    assert brief("<figure><figcaption>alone</figcaption></figure>") == [("text", "alone", None)]
+    assert brief("<figcaption>no figure</figcaption>x") == [("text", "no figure", None), ("text", "x", None)]
+
+
 def test_resolve_in_positions(spark):
     digest = hashlib.sha256(b"a").hexdigest()
     pages = spark.createDataFrame([(1, f'x<img src="sha256:{digest}">y<img src="lost">'), (2, None), (1, "again"), (None, "z")], "page_id long, html string")
