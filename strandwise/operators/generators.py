@@ -47,12 +47,13 @@ def mutate(records: DataFrame, rate: float, seed: int = 1) -> DataFrame:
     """Each base replaced by another with probability ``rate``."""
     h = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("record_id"), i), F.lit(1 << 30))
 
-    def base(i):
-        old = F.instr(F.lit("ACGT"), F.substring(F.col("seq"), i, F.lit(1))) - 1
+    def base(x, i):
+        old = F.instr(F.lit("ACGT"), x) - 1
         new = F.pmod(old + 1 + F.pmod(h(-i), F.lit(3)), F.lit(4)).cast("int")
         return F.substring(F.lit("ACGT"), F.when(h(i) < int(rate * (1 << 30)), new).otherwise(old) + 1, F.lit(1))
 
-    return records.select("record_id", F.when(F.length("seq") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1))), base), "")).otherwise("").alias("seq"))
+    letters = F.filter(F.split("seq", ""), lambda x: x != "")
+    return records.select("record_id", F.array_join(F.transform(letters, lambda x, i: base(x, i + 1)), "").alias("seq"))
 
 
 def rate_for_jaccard(j: float, k: int) -> float:

@@ -4,7 +4,12 @@ Two forms of the same plan. ``strings`` cuts a sequence into chunks that
 overlap by k - 1 and cuts those into k-mers, all as expressions, for any k.
 ``codes`` holds k <= 31 bases in a long, computed by numpy over Arrow batches:
 a third of the bytes in a shuffle, and no k-character string is ever made.
-Sets are distinct codes; repeats in a batch are dropped before the shuffle.
+
+Records longer than ``PIECE`` are cut into overlapping pieces by their bytes
+before they are dealt, so one chromosome is work for all tasks. Sets are made
+of blocks: a task sorts its codes once, in the order of a scrambled code, and
+sends ranges of them as one binary each; whoever gets a range merges what all
+tasks found. So no code is a row of its own until the set is read.
 """
 
 from __future__ import annotations
@@ -17,6 +22,10 @@ from pyspark.sql import functions as F
 from ..functions import alphabet
 
 CHUNK = 256
+#: Longer records are cut into pieces of so many k-mers.
+PIECE = 1 << 20
+#: Codes of a range of a set, about; a task merges one range.
+RANGE = 8 << 20
 #: Arrow batches are worked on in slices of about so many bases.
 SLICE = 4 << 20
 _CODE = np.array([{0: 0, 1: 1, 2: 3, 3: 2}[(b >> 1) & 3] for b in range(256)], dtype=np.uint8)
@@ -30,14 +39,30 @@ def check_k(k: int, m: int | None = None) -> None:
 def kmer_strings(records: DataFrame, k: int) -> DataFrame:
     """record_id, pos (from 0), kmer (canonical), forward: every k-mer, any k, expressions only."""
     check_k(k)
-    long = records.where(F.length("seq") >= k).select("record_id", alphabet.bases("seq").alias("seq"))
+    long = pieces(records, k).select("record_id", "at", alphabet.bases(F.col("seq").cast("string")).alias("seq"))
     starts = F.sequence(F.lit(0), F.length("seq") - k, F.lit(CHUNK))
-    chunks = long.select("record_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.substring(F.col("seq"), s + 1, F.lit(CHUNK + k - 1)).alias("part")))).alias("c"))
-    each = F.transform(F.sequence(F.lit(0), F.length("c.part") - k), lambda i: F.struct((F.col("c.at") + i).alias("pos"), F.substring(F.col("c.part"), i + 1, F.lit(k)).alias("raw")))
+    chunks = long.select("record_id", "at", F.explode(F.transform(starts, lambda s: F.struct(s.alias("from"), F.substring(F.col("seq"), s + 1, F.lit(CHUNK + k - 1)).alias("part")))).alias("c"))
+    each = F.transform(F.sequence(F.lit(0), F.length("c.part") - k), lambda i: F.struct((F.col("at") + F.col("c.from") + i).alias("pos"), F.substring(F.col("c.part"), i + 1, F.lit(k)).alias("raw")))
     rows = chunks.select("record_id", F.explode(each).alias("e")).select("record_id", "e.pos", "e.raw")
     return rows.select("record_id", "pos", alphabet.canonical("raw").alias("kmer"), alphabet.is_forward("raw").alias("forward"))
 
 
+def pieces(records: DataFrame, k: int, lead: int = 0, tail: int = 0, keep: tuple = ("record_id",)) -> DataFrame:
+    """record_id, at, seq (bytes): records of k bases or more, in pieces of ``PIECE`` k-mers, the first of which is k-mer ``at``.
+
+    Pieces have ``lead`` k-mers before and ``tail`` after their own, where the
+    record has them. Cutting bytes costs what is cut, wherever it stands.
+    """
+    data, n = F.col("seq").cast("binary"), F.octet_length("seq")
+
+    def piece(s):
+        first = F.greatest(s - lead, F.lit(0))
+        return F.struct(s.alias("at"), F.substring(data, first + 1, s - first + F.lit(PIECE + tail + k - 1)).alias("seq"))
+
+    cut = F.when(n - k < PIECE, F.array(F.struct(F.lit(0).alias("at"), data.alias("seq")))).otherwise(F.transform(F.sequence(F.lit(0), n - k, F.lit(PIECE)), piece))
+    return records.where(n >= k).select(*keep, F.explode(cut).alias("_p")).select(*keep, "_p.at", "_p.seq")
+
+
 def base_codes(data: bytes) -> np.ndarray:
     return _CODE[np.frombuffer(data, dtype=np.uint8)]
 
@@ -70,7 +95,7 @@ def canonical_codes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def laid(batch: pa.RecordBatch, k: int):
-    """Sequences of k bases or more in slices: (rows, lengths, joined codes)."""
+    """Pieces of k bases or more in slices: (rows, lengths, joined codes)."""
     rows, parts, held = [], [], 0
     for i, seq in enumerate(batch.column("seq").cast(pa.binary()).to_pylist()):
         if seq is not None and len(seq) >= k:
@@ -92,28 +117,64 @@ def inside(lengths: np.ndarray, k: int) -> np.ndarray:
 
 
 def dealt(records: DataFrame) -> DataFrame:
-    """More partitions for a table of few splits."""
+    """More partitions for a table of few splits.
+
+    What a shuffle made is dealt already, and asking for its partitions would run it.
+    """
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Repartition", "Rebalance", "Aggregate", "Join", "Sort", "Window")):
+        return records
     want = records.sparkSession.sparkContext.defaultParallelism
     return records.repartition(want) if records.rdd.getNumPartitions() * 2 < want else records
 
 
-def kmer_codes(records: DataFrame, k: int) -> DataFrame:
-    """record_id, pos, code, forward: every k-mer, k <= 31."""
+class Known:
+    """Which codes are in a set of bounded size: a table of bits first, then a search."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(np.asarray(codes).view(np.uint64))
+        self.shift = np.uint64(64 - min(28, max(10, int(len(codes)).bit_length() + 4)))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.bits[self.codes * SCRAMBLE >> self.shift] = True
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        found = self.bits[codes * SCRAMBLE >> self.shift]
+        at = np.flatnonzero(found)
+        if len(at):
+            some = codes[at]
+            found[at] = self.codes[np.minimum(np.searchsorted(self.codes, some), len(self.codes) - 1)] == some
+        return found
+
+
+#: An odd number: multiplying by it is a bijection of 64-bit codes, whose leading bits then are even.
+SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _check_codes(k: int) -> None:
     check_k(k)
     if k > 31:
         raise ValueError("codes hold 31 bases at most")
 
+
+def kmer_codes(records: DataFrame, k: int, known: Known | None = None) -> DataFrame:
+    """record_id, pos, code, forward (and, with ``known``, present): every k-mer, k <= 31."""
+    _check_codes(k)
+    names = ["record_id", "pos", "code", "forward"] + ["present"] * (known is not None)
+
     def run(batches):
         for batch in batches:
+            start = batch.column("at").to_numpy()
             for rows, lengths, codes in laid(batch, k):
                 at = inside(lengths, k)
                 code, forward = canonical_codes(codes, k)
                 n = lengths - k + 1
-                pos = at - np.repeat(np.cumsum(lengths) - lengths, n)
+                pos = at + np.repeat(start[rows] - (np.cumsum(lengths) - lengths), n)
                 ids = batch.column("record_id").take(pa.array(np.repeat(rows, n)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pos.astype(np.int32)), pa.array(code[at].view(np.int64)), pa.array(forward[at])], names=["record_id", "pos", "code", "forward"])
+                out = [ids, pa.array(pos.astype(np.int32)), pa.array(code[at].view(np.int64)), pa.array(forward[at])]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(known(code[at]))] if known is not None else []), names=names)
 
-    return dealt(records.select("record_id", "seq")).mapInArrow(run, "record_id string, pos int, code long, forward boolean")
+    return dealt(pieces(records, k)).mapInArrow(run, "record_id string, pos int, code long, forward boolean" + ", present boolean" * (known is not None))
 
 
 def kmers(records: DataFrame, k: int) -> DataFrame:
@@ -123,17 +184,111 @@ def kmers(records: DataFrame, k: int) -> DataFrame:
     return kmer_codes(records, k).select("record_id", "pos", alphabet.decode("code", k).alias("kmer"), "forward")
 
 
-def code_set(records: DataFrame, k: int) -> DataFrame:
-    """code: distinct canonical k-mers, k <= 31; one shuffle, after repeats in each slice are gone."""
-    check_k(k)
+# ------------------------------------------------------------ sets by blocks
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending values without repeats, by sorting; ``np.unique`` hashes them, which takes many times as long."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _blocks(records: DataFrame, k: int, bits: int, side: int = 0, only: Known | None = None, without: Known | None = None) -> DataFrame:
+    """side, range, codes (scrambled, ascending, as bytes) of each slice; codes once a slice."""
+    _check_codes(k)
 
     def run(batches):
         for batch in batches:
             for _, lengths, codes in laid(batch, k):
-                code, _ = canonical_codes(codes, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(code[inside(lengths, k)]).view(np.int64))], names=["code"])
+                code = canonical_codes(codes, k)[0][inside(lengths, k)]
+                if only is not None:
+                    code = code[only(code)]
+                if without is not None:
+                    code = code[~without(code)]
+                mixed = distinct(code * SCRAMBLE)
+                bounds = np.searchsorted(mixed, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+                bounds = np.r_[0, bounds, len(mixed)]
+                own = np.flatnonzero(np.diff(bounds))
+                if len(own):
+                    data = [mixed[bounds[i] : bounds[i + 1]].tobytes() for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), side, np.int32)), pa.array(own.astype(np.int32)), pa.array(data, pa.binary())], names=["side", "range", "codes"])
+
+    return dealt(pieces(records, k, keep=())).mapInArrow(run, "side int, range int, codes binary")
+
+
+def _bits(*records: DataFrame) -> int:
+    """Binary logarithm of the number of ranges: at least one a shuffle partition, and more as the input grows."""
+    spark = records[0].sparkSession
+    size = sum(int(str(r._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for r in records)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * min(size, 1 << 60) // RANGE)
+    return min(22, max(0, (ranges - 1).bit_length()))
+
+
+def _merged(blocks: DataFrame, bits: int, work, schema: str) -> DataFrame:
+    """``work(a, b)`` on the ascending scrambled codes of both sides, for each range."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        held: dict = {}
+        size: dict = {}
+
+        def merge(at):
+            held[at] = [distinct(np.concatenate(held[at]))]
+            size[at] = 2 * len(held[at][0]) + RANGE
+
+        for batch in batches:
+            for side, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault((at, side), []).append(np.frombuffer(data, dtype=np.uint64))
+                if sum(map(len, held[at, side])) > size.get((at, side), RANGE):
+                    merge((at, side))
+        none = np.zeros(0, np.uint64)
+        for at in sorted({at for at, _ in held}):
+            for side in (0, 1):
+                if (at, side) in held:
+                    merge((at, side))
+            for out in work(*(held.pop((at, side), [none])[0] for side in (0, 1))):
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return blocks.repartitionById(1 << bits, "range").mapInArrow(run, schema)
+
+
+def code_set(records: DataFrame, k: int, only: Known | None = None, without: Known | None = None) -> DataFrame:
+    """code: distinct canonical k-mers, k <= 31; of ``only`` these, or none of ``without``."""
+
+    def work(a, _):
+        for i in range(0, len(a), 1 << 20):
+            yield [pa.array((a[i : i + (1 << 20)] * _BACK).view(np.int64))]
+
+    bits = _bits(records)
+    return _merged(_blocks(records, k, bits, 0, only, without), bits, work, "code long")
+
+
+def distinct_count(records: DataFrame, k: int) -> DataFrame:
+    """One row: n distinct canonical k-mers."""
+    if k > 31:
+        return key_set(records, k).agg(F.count("*").alias("n"))
+    bits = _bits(records)
+    return _merged(_blocks(records, k, bits), bits, lambda a, _: [[pa.array([len(a)], pa.int64())]], "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def pair_counts(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """One row: both, only_a, only_b of the k-mer sets of two tables of records; k <= 31."""
+
+    def work(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        yield [pa.array([n], pa.int64()) for n in (both, len(x) - both, len(y) - both)]
+
+    bits = _bits(a, b)
+    blocks = _blocks(a, k, bits, 0).unionByName(_blocks(b, k, bits, 1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return _merged(blocks, bits, work, "both long, only_a long, only_b long").agg(total("both"), total("only_a"), total("only_b"))
+
 
-    return dealt(records.select("seq")).mapInArrow(run, "code long").distinct()
+def collected(records: DataFrame, k: int, most: int, only: Known | None = None) -> Known | None:
+    """The k-mer set of ``records`` as a set for executors, if it has ``most`` keys at most; they are counted first."""
+    if only is None and distinct_count(records, k).first()["n"] > most:
+        return None
+    return Known(code_set(records, k, only).toArrow().column("code").to_numpy())
 
 
 def key_set(records: DataFrame, k: int) -> DataFrame:

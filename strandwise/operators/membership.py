@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,66 @@ def presence(records: DataFrame, keys: DataFrame, k: int, keys_in_set: int | Non
     return rows.join(marked, "key", "left").select("record_id", "pos", K.as_kmer("key", k).alias("kmer"), F.col("_in").isNotNull().alias("present"))
 
 
+def known(records: DataFrame, others: DataFrame, k: int) -> K.Known | None:
+    """The k-mers of ``records`` that ``others`` have too, if ``records`` have at most ``BROADCAST_KEYS``.
+
+    The larger side is filtered where it is read, so its set is never made.
+    """
+    if k > 31:
+        return None
+    own = K.collected(records, k, BROADCAST_KEYS)
+    return own and K.collected(others, k, BROADCAST_KEYS, own)
+
+
+def presence_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """``presence`` of the k-mers of ``records`` among those of other records, whose set is not stored."""
+    hit = known(records, others, k)
+    if hit is None:
+        return presence(records, K.key_set(others, k), k)
+    return K.kmer_codes(records, k, hit).select("record_id", "pos", K.as_kmer("code", k).alias("kmer"), "present")
+
+
+def _each_piece(records: DataFrame, k: int, hit: K.Known, schema: str, work) -> DataFrame:
+    """``work(flags)`` for each piece of a record, with its id and first k-mer."""
+    names = ["record_id", "at", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            for rows, lengths, codes in K.laid(batch, k):
+                flags = hit(K.canonical_codes(codes, k)[0])
+                first = np.cumsum(lengths) - lengths
+                out = [work(flags[a : a + n - k + 1]) for a, n in zip(first.tolist(), lengths.tolist(), strict=True)]
+                own = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column("record_id").take(own), batch.column("at").take(own), *map(pa.array, zip(*out, strict=True))], names=names)
+
+    return K.dealt(K.pieces(records, k)).mapInArrow(run, f"record_id string, at int, {schema}")
+
+
+def summary_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """``summary``, counted where records are read."""
+    hit = known(records, others, k)
+    if hit is None:
+        return summary(presence_among(records, others, k))
+    parts = _each_piece(records, k, hit, "n long, p long", lambda f: (len(f), int(f.sum())))
+    return parts.groupBy("record_id").agg(F.sum("n").alias("n_kmers"), F.sum("p").alias("n_present"))
+
+
+def lines_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """``lines``; a record's flags meet as one text for each piece."""
+    hit = known(records, others, k)
+    if hit is None:
+        return lines(presence_among(records, others, k))
+
+    def text(flags):
+        out = np.full(2 * len(flags) - 1, ord(","), dtype=np.uint8)
+        out[::2] = ord("0") + flags
+        return (out.tobytes().decode(),)
+
+    parts = _each_piece(records, k, hit, "part string", text)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "part")))
+    return parts.groupBy("record_id").agg(F.concat_ws(",", F.transform(ordered, lambda x: x["part"])).alias("line"))
+
+
 def lines(found: DataFrame) -> DataFrame:
     """record_id, line: flags of a record in order, joined by commas."""
     flags = F.transform(F.array_sort(F.collect_list(F.struct("pos", "present"))), lambda x: x["present"].cast("int").cast("string"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, hashing
+from . import kmers as K
 from .kmers import base_codes, canonical_codes, check_k, dealt
 
 _LETTERS = np.frombuffer(b"ACGT", dtype=np.uint8)
@@ -46,49 +47,73 @@ def choose(codes: np.ndarray, k: int, m: int) -> np.ndarray:
     return where
 
 
-def _super(codes: np.ndarray, k: int, m: int) -> tuple:
-    where = choose(codes, k, m)
-    start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    return start, np.diff(np.r_[start, len(where)]), where[start]
+def _spans(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, letters end to end) of spans of ``codes``."""
+    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    return length, _LETTERS[codes[at]]
 
 
-def _text(codes: np.ndarray) -> str:
-    return _LETTERS[codes].tobytes().decode()
+def _strings(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    lengths = np.concatenate([n for n, _ in parts])
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate([x for _, x in parts]).tobytes()))
 
 
-def superkmers(records: DataFrame, k: int, m: int, core: int = 1 << 20) -> DataFrame:
+def superkmers(records: DataFrame, k: int, m: int) -> DataFrame:
     """record_id, start, seq, pref, suff, minimizer, n_kmers.
 
-    pref and suff: bases of ``seq`` before and after the minimizer. Long records
-    are worked on in cores of ``core`` k-mers; a run over an edge is joined.
+    pref and suff: bases of ``seq`` before and after the minimizer. A piece of a
+    long record has one k-mer more before and as many after its own as a run can
+    reach, and gives the runs that begin in it.
     """
     check_k(k, m)
     if m > 31:
         raise ValueError("minimizers hold 31 bases at most")
     schema = "record_id string, start int, seq string, pref int, suff int, minimizer string, n_kmers int"
+    piece = K.PIECE
 
     def run(batches):
         for batch in batches:
-            out = []
-            for name, seq in zip(batch.column("record_id").to_pylist(), batch.column("seq").cast(pa.binary()).to_pylist(), strict=True):
-                if seq is None or len(seq) < k:
-                    continue
+            rows, starts, seqs, pref, suff, low, count, held = [], [], [], [], [], [], [], 0
+            for i, (at, seq) in enumerate(zip(batch.column("at").to_pylist(), batch.column("seq").to_pylist(), strict=True)):
                 codes = base_codes(seq)
-                runs: list[list[int]] = []
-                for a in range(0, len(codes) - k + 1, core):
-                    for s, n, w in zip(*(x.tolist() for x in _super(codes[a : a + core + k - 1], k, m)), strict=True):
-                        if runs and runs[-1][2] == w + a and runs[-1][0] + runs[-1][1] == s + a:
-                            runs[-1][1] += n
-                        else:
-                            runs.append([s + a, n, w + a])
-                for s, n, w in runs:
-                    fwd = codes[w : w + m]
-                    low = min(_text(fwd), _text((3 - fwd)[::-1]))
-                    out.append((name, s, _text(codes[s : s + n + k - 1]), w - s, s + n + k - 1 - w - m, low, n))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=[c.split()[0] for c in schema.split(", ")])
-
-    return dealt(records.select("record_id", "seq")).mapInArrow(run, schema)
+                lead = int(at > 0)
+                where = choose(codes, k, m)
+                edge = np.r_[True, where[1:] != where[:-1]]
+                begin = np.flatnonzero(edge)
+                n = np.diff(np.r_[begin, len(where)])
+                own = (begin >= lead) & (begin < lead + piece)
+                begin, n = begin[own], n[own]
+                if not len(begin):
+                    continue
+                w = where[begin]
+                length = n + k - 1
+                # the minimizer reads forward or, from the other end, on the other strand
+                forward = canonical_codes(codes, m)[1][w]
+                j = np.arange(m)
+                letters = np.where(forward[:, None], codes[w[:, None] + j], 3 - codes[w[:, None] + m - 1 - j])
+                rows.append(np.full(len(begin), i))
+                starts.append(begin + at - lead)
+                seqs.append(_spans(codes, begin, length))
+                pref.append(w - begin)
+                suff.append(begin + length - w - m)
+                low.append((np.full(len(begin), m), _LETTERS[letters].ravel()))
+                count.append(n)
+                held += int(length.sum())
+                if held > 1 << 26:
+                    yield _table(batch, rows, starts, seqs, pref, suff, low, count)
+                    rows, starts, seqs, pref, suff, low, count, held = [], [], [], [], [], [], [], 0
+            if rows:
+                yield _table(batch, rows, starts, seqs, pref, suff, low, count)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def _table(batch, rows, starts, seqs, pref, suff, low, count):
+        ints = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+        ids = batch.column("record_id").take(pa.array(np.concatenate(rows)))
+        return pa.RecordBatch.from_arrays([ids, ints(starts), _strings(seqs), ints(pref), ints(suff), _strings(low), ints(count)], names=names)
+
+    return dealt(K.pieces(records, k, 1, k - m + 1)).mapInArrow(run, schema)
 
 
 def minimizer_of(kmer, k: int, m: int):

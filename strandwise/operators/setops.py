@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from . import kmers as K
+from .membership import BROADCAST_KEYS
+
 RELATIONS = {"intersection": "in_a and in_b", "union": "true", "diff_ab": "in_a and not in_b", "diff_ba": "in_b and not in_a", "xor": "in_a <> in_b"}
 SIZES = (*RELATIONS, "A", "B")
 
@@ -53,10 +56,40 @@ def counts(marked: DataFrame) -> DataFrame:
     return marked.agg(n("in_a and in_b").alias("both"), n("in_a and not in_b").alias("only_a"), n("in_b and not in_a").alias("only_b"))
 
 
+def common_of(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """key: k-mers that two tables of records share; the larger one is filtered where it is read if ``b`` has few."""
+    own = K.collected(b, k, BROADCAST_KEYS) if k <= 31 else None
+    if own is None:
+        return intersection(K.key_set(a, k), K.key_set(b, k))
+    return K.code_set(a, k, only=own).select(F.col("code").alias("key"))
+
+
+def difference_of(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """key: k-mers of records ``a`` that records ``b`` lack."""
+    own = K.collected(a, k, BROADCAST_KEYS) if k <= 31 else None
+    if own is None:
+        return difference(K.key_set(a, k), K.key_set(b, k))
+    return K.code_set(a, k, without=K.collected(b, k, BROADCAST_KEYS, own)).select(F.col("code").alias("key"))
+
+
+def counts_of(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """``counts`` of two tables of records, without a row for each key."""
+    return K.pair_counts(a, b, k) if k <= 31 else counts(flagged(K.key_set(a, k), K.key_set(b, k)))
+
+
+#: A relation's size from ``counts``.
+SIZE = {"intersection": "both", "union": "both + only_a + only_b", "diff_ab": "only_a", "diff_ba": "only_b", "xor": "only_a + only_b"}
+
+
+def size_of(a: DataFrame, b: DataFrame, name: str, k: int) -> DataFrame:
+    """One row: n of a relation of two tables of records."""
+    return counts_of(a, b, k).select(F.expr(SIZE[name]).alias("n"))
+
+
 def sizes(marked: DataFrame) -> DataFrame:
-    """relation, n: all seven sizes in the order of SIZES, from one pass."""
+    """relation, n: all seven sizes in the order of SIZES, from one pass; ``marked``: flagged keys, or their counts."""
     e = "stack(7, 'intersection', both, 'union', both + only_a + only_b, 'diff_ab', only_a, 'diff_ba', only_b, 'xor', only_a + only_b, 'A', both + only_a, 'B', both + only_b) as (relation, n)"
-    return counts(marked).selectExpr(e)
+    return (marked if "both" in marked.columns else counts(marked)).selectExpr(e)
 
 
 def size(a: DataFrame, b: DataFrame, name: str, key: str = "key") -> DataFrame:
@@ -68,7 +101,7 @@ def size(a: DataFrame, b: DataFrame, name: str, key: str = "key") -> DataFrame:
 
 def overlap(marked: DataFrame) -> DataFrame:
     """One row: jaccard, and containment of either set in the other; null for empty sets."""
-    c = counts(marked)
+    c = marked if "both" in marked.columns else counts(marked)
     ratio = lambda x, y: F.try_divide(x.cast("double"), y)
     both, a, b = F.col("both"), F.col("both") + F.col("only_a"), F.col("both") + F.col("only_b")
     return c.select(ratio(both, a + b - both).alias("jaccard"), ratio(both, a).alias("containment_a"), ratio(both, b).alias("containment_b"))

@@ -8,8 +8,6 @@ a draw, have no SQL; tests hold them against a second implementation.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from ..functions import alphabet, hashing
 from ..operators import compaction, generators, membership, minimizers, setops
 from ..operators import kmers as K_
 from ..sources import sequences, store
+from ..sources.shared import scratch
 from ..streaming import presence as streaming
 
 K, M, BITS = 21, 11, 6
@@ -43,18 +42,8 @@ TEXTS = {"part": "p_name", "customer": "c_name"}
 
 
 def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    t = table(spark, sf_dir, name)
-    return sequences.from_table(t.select(F.expr(IDS[name]).alias("record_id"), F.col(TEXTS.get(name, "text")).alias("text")), "record_id", alphabet.letters_as_bases("text"))
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints, which all executors reach."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+    t = K_.dealt(table(spark, sf_dir, name))  # before texts become bases, so that all tasks do that
+    return sequences.from_letters(t, F.expr(IDS[name]), TEXTS.get(name, "text"))
 
 
 # ------------------------------------------------------------ pieces of SQL
@@ -91,15 +80,12 @@ def code_sql(x: str) -> str:
 
 
 def phi_ctes(source: str, m: int) -> str:
-    """CTEs p0 to p3 over ``source`` with a column ``code``; p3 has it hashed as ``phi``."""
-    mask, s = (1 << 2 * m) - 1, max(1, m)
-    c1, c2 = (c & mask | 1 for c in hashing._MIX)
-    return (
-        f"p0 AS (SELECT *, xor(code, {hashing._SEED & mask}) AS x FROM {source}), "
-        f"p1 AS (SELECT * EXCLUDE x, (xor(x, x >> {s}) * {c1}) & {mask} AS x FROM p0), "
-        f"p2 AS (SELECT * EXCLUDE x, (xor(x, x >> {s}) * {c2}) & {mask} AS x FROM p1), "
-        f"p3 AS (SELECT * EXCLUDE x, xor(x, x >> {s}) AS phi FROM p2)"
-    )
+    """CTEs up to p3 over ``source`` with a column ``code``; p3 has it hashed as ``phi``."""
+    half = (1 << m) - 1
+    out = [f"p0 AS (SELECT *, code >> {m} AS l, code & {half} AS r FROM {source})"]
+    for i, (c, d) in enumerate(hashing._ROUNDS):
+        out.append(f"q{i} AS (SELECT * EXCLUDE (l, r), r AS l, xor(l, ((r * {c} + {d}) >> 16) & {half}) AS r FROM {f'q{i - 1}' if i else 'p0'})")
+    return ", ".join([*out, f"p3 AS (SELECT * EXCLUDE (l, r), (l << {m}) | r AS phi FROM q3)"])
 
 
 def chosen_ctes(name: str) -> str:
@@ -226,7 +212,7 @@ def kmer_count(spark, sf_dir):
 @query(f"SELECT count(*) AS n FROM ({set_sql('documents')})")
 def kmer_distinct_count(spark, sf_dir):
     """Construction: all distinct k-mers of a table."""
-    return K_.key_set(records(spark, sf_dir, "documents"), K).agg(F.count("*").alias("n"))
+    return K_.distinct_count(records(spark, sf_dir, "documents"), K)
 
 
 @query(set_sql("benchmark"))
@@ -253,7 +239,7 @@ def overlap_join(spark, sf_dir):
 
 
 def _presence(spark, sf_dir, a="conversations", b="documents"):
-    return membership.presence(records(spark, sf_dir, a), K_.key_set(records(spark, sf_dir, b), K), K)
+    return membership.presence_among(records(spark, sf_dir, a), records(spark, sf_dir, b), K)
 
 
 def presence_sql(a="conversations", b="documents") -> str:
@@ -268,7 +254,7 @@ def query_presence(spark, sf_dir):
 
 @query(f"SELECT record_id, string_agg(CASE WHEN present THEN '1' ELSE '0' END, ',' ORDER BY pos) AS line FROM ({presence_sql('benchmark')}) GROUP BY record_id")
 def query_presence_lines(spark, sf_dir):
-    return membership.lines(_presence(spark, sf_dir, "benchmark"))
+    return membership.lines_among(records(spark, sf_dir, "benchmark"), records(spark, sf_dir, "documents"), K)
 
 
 @query(f"WITH {superkmer_ctes('benchmark')}, f AS ({presence_sql('benchmark', 'conversations')}), c AS (SELECT sk.record_id, start, substr(seq, pref + 1, {M}) <> minimizer AS turned, f.pos, f.present FROM sk JOIN f ON f.record_id = sk.record_id AND f.pos >= start AND f.pos < start + n_kmers) SELECT record_id, start, string_agg(CASE WHEN present THEN '1' ELSE '0' END, ',' ORDER BY CASE WHEN turned THEN -pos ELSE pos END) AS line FROM c GROUP BY record_id, start")
@@ -284,7 +270,7 @@ def query_missing(spark, sf_dir):
 
 @query(f"SELECT record_id, count(*) AS n_kmers, CAST(sum(CASE WHEN present THEN 1 ELSE 0 END) AS BIGINT) AS n_present FROM ({presence_sql()}) GROUP BY record_id")
 def query_summary(spark, sf_dir):
-    return membership.summary(_presence(spark, sf_dir))
+    return membership.summary_among(records(spark, sf_dir, "conversations"), records(spark, sf_dir, "documents"), K)
 
 
 @query(presence_sql("benchmark", "conversations"))
@@ -295,7 +281,9 @@ def stream_presence(spark, sf_dir):
     t.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(t.schema).parquet(f"{path}/in")
     rows = sequences.from_table(stream, "item_id", alphabet.letters_as_bases("text"))
-    found = streaming.stream_presence(rows, K_.key_set(records(spark, sf_dir, "conversations"), K), K)
+    # stored first: every batch of the stream looks into the same set
+    n = store.write_set(_c(spark, sf_dir), f"{path}/set", K, M)
+    found = streaming.stream_presence(rows, store.read_set(spark, f"{path}/set")[0], K, n)
     found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
@@ -321,7 +309,7 @@ def _named(df):
 
 @query(f"({set_sql('documents')}) INTERSECT ({set_sql('benchmark')})")
 def setop_intersection(spark, sf_dir):
-    return _named(setops.intersection(_a(spark, sf_dir), _b(spark, sf_dir)))
+    return _named(setops.common_of(records(spark, sf_dir, "documents"), records(spark, sf_dir, "benchmark"), K))
 
 
 @query(f"({set_sql('benchmark')}) UNION ({set_sql('conversations')})")
@@ -331,7 +319,7 @@ def setop_union(spark, sf_dir):
 
 @query(f"({set_sql('conversations')}) EXCEPT ({set_sql('documents')})")
 def setop_diff_ab(spark, sf_dir):
-    return _named(setops.difference(_c(spark, sf_dir), _a(spark, sf_dir)))
+    return _named(setops.difference_of(records(spark, sf_dir, "conversations"), records(spark, sf_dir, "documents"), K))
 
 
 @query(f"({set_sql('benchmark')}) EXCEPT ({set_sql('documents')})")
@@ -346,7 +334,7 @@ def setop_xor(spark, sf_dir):
 
 def _size(name, formula):
     def run(spark, sf_dir):
-        return setops.size(_a(spark, sf_dir), _b(spark, sf_dir), name)
+        return setops.size_of(records(spark, sf_dir, "documents"), records(spark, sf_dir, "benchmark"), name, K)
 
     run.__name__ = f"setop_{name}_size"
     run.__doc__ = f"Keys in the {name} of documents and benchmark, nothing materialized."
@@ -362,7 +350,7 @@ SIZES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS relation, {e} AS n FROM c" for
 @query(f"WITH c AS ({both_sql('documents', 'benchmark')}) {SIZES_SQL}")
 def setop_sizes_all(spark, sf_dir):
     """All seven sizes from one shared pass."""
-    return setops.sizes(setops.flagged(_a(spark, sf_dir), _b(spark, sf_dir)))
+    return setops.sizes(setops.counts_of(records(spark, sf_dir, "documents"), records(spark, sf_dir, "benchmark"), K))
 
 
 @query(f"WITH c AS ({both_sql('benchmark', 'conversations')}) {SIZES_SQL}")
@@ -377,7 +365,7 @@ def setop_multi(spark, sf_dir):
 
 @query(f"SELECT x / (x + p + q) AS jaccard, x / (x + p) AS containment_a, x / (x + q) AS containment_b FROM ({both_sql('documents', 'benchmark')})")
 def jaccard_containment(spark, sf_dir):
-    return setops.overlap(setops.flagged(_a(spark, sf_dir), _b(spark, sf_dir)))
+    return setops.overlap(setops.counts_of(records(spark, sf_dir, "documents"), records(spark, sf_dir, "benchmark"), K))
 
 
 # ----------------------------------------------------------------- storage
@@ -402,10 +390,10 @@ def stored_meta(spark, sf_dir):
     return spark.read.parquet(f"{path}/meta").select("k", "m", "n_kmers", "n_buckets")
 
 
-@query()
+@query(f"SELECT count(*) AS n, coalesce(bit_xor(CAST(concat('0x', substr(md5(kmer), 1, 15)) AS BIGINT)), 0) AS digest FROM ({set_sql('benchmark')})")
 def set_digest(spark, sf_dir):
     """Size and order-free digest of a set."""
-    return hashing.set_digest(_a(spark, sf_dir), "key")
+    return hashing.set_digest(_named(_b(spark, sf_dir)))
 
 
 # --------------------------------------------- minimizers and super-k-mers
@@ -509,7 +497,7 @@ def mutated_overlap(spark, sf_dir):
     """Jaccard index of a table with its copy mutated for an index of 0.5."""
     r = records(spark, sf_dir, "benchmark")
     other = generators.mutate(r, generators.rate_for_jaccard(0.5, K))
-    return setops.overlap(setops.flagged(K_.key_set(r, K), K_.key_set(other, K)))
+    return setops.overlap(setops.counts_of(r, other, K))
 
 
 @query()

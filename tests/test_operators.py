@@ -163,11 +163,52 @@ def test_superkmers(spark, k, m):
     assert frame(sk) == frame(turned)
 
 
-def test_long_records_in_cores(spark):
-    seqs = [generators.random_dna(3000, 5), "A" * 500]
+def test_long_records_in_pieces(spark, monkeypatch):
+    seqs = [generators.random_dna(3000, 5), "A" * 500, generators.random_dna(57, 6), "ACGT"]
     r = sequences.from_strings(spark, seqs)
-    whole = sorted(map(tuple, minimizers.superkmers(r, 21, 11).collect()))
-    assert sorted(map(tuple, minimizers.superkmers(r, 21, 11, core=37).collect())) == whole
+    other = sequences.from_strings(spark, [seqs[0][700:1500], seqs[2]])
+    views = {
+        "superkmers": lambda: minimizers.superkmers(r, 21, 11),
+        "codes": lambda: kmers.kmer_codes(r, 21),
+        "strings": lambda: kmers.kmer_strings(r, 21),
+        "long": lambda: kmers.kmers(r, 41),
+        "set": lambda: kmers.code_set(r, 21),
+        "pairs": lambda: kmers.pair_counts(r, other, 21),
+        "presence": lambda: membership.presence_among(r, other, 21),
+        "lines": lambda: membership.lines_among(r, other, 21),
+        "summary": lambda: membership.summary_among(r, other, 21),
+    }
+    rows = lambda: {n: sorted(map(tuple, f().collect())) for n, f in views.items()}
+    whole = rows()
+    monkeypatch.setattr(kmers, "PIECE", 37)
+    assert rows() == whole
+    monkeypatch.setattr(membership, "BROADCAST_KEYS", 0)  # joins instead of filters
+    for n in ("presence", "lines", "summary"):
+        assert sorted(map(tuple, views[n]().collect())) == whole[n]
+    held = {canon(seqs[0][i : i + 21]) for i in range(700, 1480)} | {canon(seqs[2][i : i + 21]) for i in range(37)}
+    assert whole["summary"][0] == ("0", 2980, 780) and {x[2] for x in whole["presence"] if x[3]} == held
+
+
+def test_sets_of_two_tables_of_records(spark):
+    a, b = ([generators.random_dna(400, s) for s in seeds] for seeds in ((1, 2, 3), (2, 3, 4, 4)))
+    ra, rb = sequences.from_strings(spark, a), sequences.from_strings(spark, b)
+    sa, sb = ({canon(x[i : i + 15]) for x in y for i in range(len(x) - 14)} for y in (a, b))
+    got = lambda df: {r[0] for r in df.select(kmers.as_kmer("key", 15)).collect()}
+    assert got(setops.common_of(ra, rb, 15)) == sa & sb and got(setops.difference_of(ra, rb, 15)) == sa - sb
+    assert tuple(setops.counts_of(ra, rb, 15).first()) == (len(sa & sb), len(sa - sb), len(sb - sa))
+    assert setops.size_of(ra, rb, "xor", 15).first()["n"] == len(sa ^ sb) and kmers.distinct_count(ra, 15).first()["n"] == len(sa)
+    none = sequences.from_strings(spark, ["ACG"])
+    assert got(setops.common_of(ra, none, 15)) == set() and got(setops.difference_of(ra, none, 15)) == sa
+    assert tuple(setops.counts_of(none, none, 15).first()) == (0, 0, 0)
+
+
+def test_known_codes():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 42, 5000, dtype=np.uint64)
+    some = rng.permutation(np.r_[codes[:2000], rng.integers(0, 1 << 42, 3000, dtype=np.uint64)])
+    assert np.array_equal(kmers.Known(codes)(some), np.isin(some, codes))
+    assert not kmers.Known(codes[:0])(some).any()
+
 
 
 def test_chains():
