@@ -8,9 +8,12 @@ is the base model's smoothed count, with an unseen word in every class.
 
 Counts run over the whole training text: words are hashed to 64 bits and summed
 with map-side combine. Classes are the end, the commonest words and common word
-beginnings. Every training partition runs gradient updates over all its tokens
-in batches (one pass, Adagrad); their weights are averaged, each row by how
-often it was met (parameter mixing), in a streaming sum over sorted blocks.
+beginnings. Training rows are dealt by a hash of id and text to shards of about
+``SHARD_TOKENS`` tokens, ``SHARDS`` of them at most, and sorted there. Every
+shard runs gradient updates over all its tokens in batches (one pass, Adagrad);
+their weights are averaged, each row by how often it was met (parameter
+mixing), in a streaming sum over sorted blocks. So neither files nor cores nor
+partitions of the input change a score.
 
 For scoring, counts of the ``HEAD`` commonest words go to the executors (a
 fixed size); tokens of rarer words are joined with the counts by hash. Those
@@ -45,6 +48,9 @@ SLOTS = 1 << 21
 NEAR = 4096
 RATE = 0.15
 BATCH = 4096
+#: Training tokens of a shard; beyond ``SHARDS`` shards they hold more, so that the weights that are summed stay bounded.
+SHARD_TOKENS = 4 << 20
+SHARDS = 4096
 HOLD_OUT = 10
 ALPHA = 0.1
 _BASE = 0xA24BAED4963EE407
@@ -79,6 +85,10 @@ def _held_out(ids) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % HOLD_OUT == 0 for i in ids])
 
 
+def _is_held_out():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HOLD_OUT == 0
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """h, prefix, c over the tokens of training rows."""
 
@@ -150,8 +160,8 @@ class Lexicon:
         k[tokens.end] = 0
         word = np.where((place >= 0) & (self.near[place] >= 0), self.near[place], k)
         # before the first word stands the end of the text before
-        one, two = np.r_[0, word[:-1]], np.r_[0, 0, word[:-2]]
-        k1, k2 = np.r_[0, k[:-1]], np.r_[0, 0, k[:-2]]
+        one, two = np.r_[0, word[:-1]], np.r_[0, 0, word][:len(word)]
+        k1, k2 = np.r_[0, k[:-1]], np.r_[0, 0, k][:len(k)]
         start = np.r_[True, tokens.end[:-1]]
         second = np.r_[False, start[:-1]]
         one[start], k1[start] = 0, 0
@@ -199,31 +209,33 @@ BLOCK = 128
 
 
 def train(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Average of the partitions' weights, each row by its number of tokens."""
+    """Average of the shards' weights, each row by its number of tokens."""
+    shards = min(SHARDS, max(1, -(-lexicon.n // SHARD_TOKENS)))
+    key = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", key.alias("_key")).where(~_is_held_out()).repartition(shards, "_key").sortWithinPartitions("_key", "doc_id")
 
     def local(batches):
+        from pyspark import TaskContext
+
         from .common import slices
 
+        shard = TaskContext.get().partitionId()
         weights = Weights(lexicon)
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
-                use = ~_held_out(part.column("doc_id").to_pylist())
-                own = [t for t, u in zip(texts(part), use, strict=True) if u]
-                if not own:
-                    continue
-                tokens = Tokens(own)
+                tokens = Tokens(texts(part))
                 k, rows = lexicon.features(tokens, lexicon.find(tokens))
                 for at in range(0, len(k), BATCH):
                     weights.update(rows[:, at : at + BATCH], k[at : at + BATCH])
         if weights.met.any():
             blocks = [b for b in range(-(-ROWS // BLOCK)) if weights.met[b * BLOCK : (b + 1) * BLOCK].any()]
             cells = [slice(b * BLOCK, (b + 1) * BLOCK) for b in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([weights.met[c].astype("<i8").tobytes() for c in cells], pa.binary()), pa.array([(weights.w[c] * weights.met[c][:, None]).astype("<f4").tobytes() for c in cells], pa.binary())], names=["block", "met", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array([weights.met[c].astype("<i8").tobytes() for c in cells], pa.binary()), pa.array([(weights.w[c] * weights.met[c][:, None]).astype("<f4").tobytes() for c in cells], pa.binary())], names=["block", "shard", "met", "w"])
 
     def total(batches):
         now, met, w = None, None, None
         for batch in batches:
-            for b, m, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for b, m, x in zip(*(batch.column(i).to_pylist() for i in ("block", "met", "w")), strict=True):
                 m, x = np.frombuffer(m, "<i8"), np.frombuffer(x, "<f4").astype(np.float64)
                 if b != now:
                     if now is not None:
@@ -238,8 +250,9 @@ def train(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
     def _row(b, met, w):
         return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([met.astype("<i8").tobytes()], pa.binary()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["block", "met", "w"])
 
-    schema = "block int, met binary, w binary"
-    sums = docs.mapInArrow(local, schema).repartition("block").sortWithinPartitions("block").mapInArrow(total, schema)
+    parts = dealt.mapInArrow(local, "block int, shard int, met binary, w binary")
+    # in the order of shards, as sums of floats hang on theirs
+    sums = parts.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(total, "block int, met binary, w binary")
     out = np.zeros((ROWS, CLASSES), dtype=np.float32)
     for r in sums.collect():  # the model itself: ROWS rows
         at = r["block"] * BLOCK
@@ -334,8 +347,7 @@ def scores(docs: DataFrame) -> DataFrame:
     value = F.when(F.col("n_tokens").isNull(), F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / F.lit(total))).otherwise(F.col("base"))
     known = F.when(F.col("n_tokens").isNull(), F.when(F.col("c").isNotNull(), 1).otherwise(0)).otherwise(F.col("n_known"))
     out = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(value).alias("base_score"), F.sum("gain").alias("gain"))
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HOLD_OUT == 0
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(lexicon.n)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    return out.select("doc_id", _is_held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(lexicon.n)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 
 def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,14 @@ def test_only_held_out_rows(spark, put):
     ids = [i for i in range(100) if held(i)][:4]
     pairs = [(i, "some words") for i in ids]
     compare(X.op9_maxent(spark, put(pairs)).collect(), brute(pairs))
+
+
+def test_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    from .conftest import odd_rows
+
+    monkeypatch.setattr(X, "SHARD_TOKENS", 8000)
+    docs = spark.createDataFrame(odd_rows(), "doc_id long, text string")
+    one, *others = (sorted(map(tuple, X.scores(docs.repartition(n)).collect()), key=str) for n in (2, 16, 64))
+    for other in others:
+        assert [r[:5] for r in one] == [r[:5] for r in other]
+        assert [r[6] for r in one] == pytest.approx([r[6] for r in other], rel=1e-9)
