@@ -216,11 +216,16 @@ def _blocks(records: DataFrame, k: int, bits: int, side: int = 0, only: Known |
     return dealt(pieces(records, k, keep=())).mapInArrow(run, "side int, range int, codes binary")
 
 
+def _bytes(records: DataFrame) -> int:
+    """The planner's estimate; where it has none, or one beyond a terabyte (joins multiply), bases are counted."""
+    size = int(str(records._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 40 else records.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
+
+
 def _bits(*records: DataFrame) -> int:
     """Binary logarithm of the number of ranges: at least one a shuffle partition, and more as the input grows."""
     spark = records[0].sparkSession
-    size = sum(int(str(r._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for r in records)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * min(size, 1 << 60) // RANGE)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * sum(map(_bytes, records)) // RANGE)
     return min(22, max(0, (ranges - 1).bit_length()))
 
 
