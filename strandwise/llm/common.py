@@ -70,13 +70,13 @@ class Stash:
         self.top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
         self.number = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, row_group: int | None = None) -> DataFrame:
         path = f"{self.top}/{self.number}"
         self.number += 1
         before = self.spark.conf.get(_CLEAN, "false")
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.parquet(path)
+            (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
         finally:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
