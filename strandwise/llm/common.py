@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -32,6 +33,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="strandwise-checkpoint-"))
 
 
+#: Rows of an Arrow batch while a stashed table is made: its buffers lie outside the heap, on both sides of the pipe.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,11 +78,14 @@ class Stash:
         path = f"{self.top}/{self.number}"
         self.number += 1
         before = self.spark.conf.get(_CLEAN, "false")
+        rows = self.spark.conf.get(_ROWS)
         self.spark.conf.set(_CLEAN, "true")
+        self.spark.conf.set(_ROWS, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
         try:
             (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
         finally:
             self.spark.conf.set(_CLEAN, before)
+            self.spark.conf.set(_ROWS, rows)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Stash:
@@ -113,6 +120,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give back to the system what this Python worker no longer uses.
+
+    A worker stays for later tasks and would hold the most that any task took,
+    beside stages of its executor that need no Python.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch], dict | None], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices; ``work`` returns columns in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -126,6 +145,9 @@ def map_texts(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBa
                 got = work(part)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(got, arrow, strict=True)], schema=arrow)
+                part = got = None
+            batch = None
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_texts, spread, table, texts
+from .common import crc_of_id, map_texts, release, spread, table, texts
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -230,6 +230,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
                 part, held = [], 0
         if part:
             out.append(model.score(part))
+        part = []
+        release()
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.where(score("text") < threshold)
