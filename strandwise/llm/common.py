@@ -73,6 +73,7 @@ class Stash:
         self.spark = spark
         self.top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
         self.number = 0
+        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, row_group: int | None = None) -> DataFrame:
         path = f"{self.top}/{self.number}"
@@ -86,7 +87,13 @@ class Stash:
         finally:
             self.spark.conf.set(_CLEAN, before)
             self.spark.conf.set(_ROWS, rows)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def forget(self, df: DataFrame) -> None:
+        """Remove one table of ``put``, which nothing reads any more."""
+        remove_folder(self.spark, self.paths.pop(id(df)))
 
     def __enter__(self) -> Stash:
         return self

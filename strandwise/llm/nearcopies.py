@@ -1,32 +1,39 @@
-"""Near copies by Jaccard similarity of five-word shingles, exact.
+"""Near copies by SimHash and Jaccard similarity of five-word shingles.
 
 Two texts are near copies where their sets of ``SHINGLE``-word shingles (A-Z
 folded, parted by white space) have a similarity of 0.8 at least; near copies
-of near copies are one component. Every such pair is found: under one order of
-all shingles, sets of similarity 0.8 share a shingle among the first
-``n - ceil(0.8 n) + 1`` of each (prefix filter), and what may be near is
-checked on whole sets. The order
-is by hash, with shingles that many prefixes hold put last; which ones are put
-last changes the work and not the result.
-
-Texts are read once: their sets are stored as sorted hashes, about as many bytes
-as the texts. Equal sets are one node before anything is compared. Prefix shingles of one set
-only are dropped by counting alone. Sets that meet under a shingle are compared
-by size and by a bitmap of parities, whose differing bits are at most the
-shingles that differ, so no pair of 0.8 is missed; only a spanning forest of
-what may be near leaves the task. Each component of these links is then gathered
-once, with its whole sets, and joined anew by exact similarities. So rows grow
-with the input and not with pairs; a task holds the sets of one component, and
-sets that meet and are not near cost comparisons by pairs.
+of near copies are one component. Sets of similarity 0.8 share a shingle among
+the first ``n - ceil(0.8 n) + 1`` of each under one order of all shingles
+(prefix filter), so every such pair meets under a shingle. The order is by hash,
+with shingles that many prefixes hold put last; which ones are put last changes
+the work and not the result.
+
+Sets that meet are compared by size, by a bitmap of parities and by SimHash. The
+bitmap's differing bits are at most the shingles that differ; it tells much of
+short sets and nothing of long ones. The SimHash fingerprint (``PRINT`` bits, a
+majority vote of the set's shingles) tells the same for all lengths: of two sets
+of similarity 0.8 with ``LONG`` shingles or more, a bit differs with a chance of
+0.154 at most, so more than ``RADIUS`` bits differ with one below 1e-14, while
+unrelated sets differ in half of them. What is near by all three is checked on
+whole sets.
+
+Texts are read three times, and a fourth time where they may be near: their sets
+would take more room than they do, and are not stored. Equal sets are one node
+before anything is compared. Prefix shingles of one set only are dropped by
+counting alone. Only a spanning forest of what may be near leaves a task. Each
+component of these links is then gathered with its whole sets and joined anew by
+exact similarities. A component of more than ``TILE`` shingles is cut into tiles
+by hash, and every two tiles meet in a task; so a task holds two tiles (or two
+sets, if those are longer) however large a component is, and no pair is lost.
 
 Texts under five words are one shingle; null and empty texts have none and are
 equal. A null id takes no part. Rows of one id are told apart by their texts,
 and of rows that repeat both one stays. Empty tables give no rows; columns of
 other names pass by.
 
-SimHash fingerprints cannot decide this: at the radius of four bits they link a
-twelfth of such pairs. So their operator serves its own query, and this one the
-pipeline's stage.
+The 64 bits and the radius of four that ``op3`` is given link a twelfth of such
+pairs. So that operator serves its own query, and this one, with more bits and a
+check, the pipeline's stage.
 """
 
 from __future__ import annotations
@@ -47,9 +54,16 @@ LAST = 1 << 20
 #: Bits of the parity bitmap of a set.
 BITS = 512
 WIDE = 1 << 16
+#: Bits of a SimHash fingerprint, those that may differ, and the size of the sets for which that holds.
+PRINT = 512
+RADIUS = 154
+LONG = 64
+#: Shingles of a tile; a component with more is cut.
+TILE = 1 << 21
+#: Bytes of the wide bitmaps that a task holds.
+WIDE_BYTES = 32 << 20
 _SETS = 1024
-#: Bytes of a row group of the stored sets, which a task holds while it writes.
-ROW_GROUP = 16 << 20
+_VOTES = 1 << 14
 _SLICE = 2 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -73,10 +87,15 @@ class Shingles:
         self.sign = np.zeros(len(docs), dtype=np.uint64)
         np.add.at(self.sign, self.doc, _mix(self.h))
 
-    def cells(self) -> list[bytes | None]:
-        """The hashes of each set as bytes; None for a set that an earlier document of the slice has."""
-        once = set(np.unique(self.sign, return_index=True)[1].tolist())
-        return [self.h[a : a + n].tobytes() if i in once else None for i, (a, n) in enumerate(zip(self.first, self.size, strict=True))]
+    def once(self) -> np.ndarray:
+        """Marks the sets that no earlier document of the slice has."""
+        out = np.zeros(len(self.sign), dtype=bool)
+        out[np.unique(self.sign, return_index=True)[1]] = True
+        return out
+
+    def cells(self) -> list[bytes]:
+        """The hashes of each set as bytes."""
+        return [self.h[a : a + n].tobytes() for a, n in zip(self.first, self.size, strict=True)]
 
     def bitmaps(self) -> np.ndarray:
         """A row of ``BITS`` / 64 words for each set; a bit is the parity of the shingles that fall on it."""
@@ -90,6 +109,22 @@ class Shingles:
             out[a:b] = np.packbits(odd.reshape(-1, BITS), axis=1).view(np.uint64)
         return out
 
+    def prints(self) -> np.ndarray:
+        """A row of ``PRINT`` / 64 words for each set: its SimHash, a bit is set where over half of the shingles have it."""
+        votes = np.zeros((len(self.size), PRINT), dtype=np.int32)
+        for a in range(0, len(self.h), _VOTES):
+            h, doc = self.h[a : a + _VOTES], self.doc[a : a + _VOTES]
+            each = np.stack([_mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(PRINT // 64)], axis=1)
+            bits = np.unpackbits(each.view(np.uint8), axis=1).view(np.uint64)
+            # eight votes to a word, each of a byte that 255 shingles can not overflow
+            begin = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
+            length = np.diff(np.r_[begin, len(doc)])
+            parts = -(-length // 255)
+            at = np.repeat(begin, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+            eight = np.add.reduceat(bits, at, axis=0).view(np.uint8)
+            votes[doc[begin]] += np.add.reduceat(eight, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+        return np.packbits(2 * votes > self.size[:, None], axis=1).view(np.uint64)
+
 
 def prefixes(h: np.ndarray, size: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and sets of the prefix shingles of sets laid end to end (``h``, ascending in each); those in ``last`` (ascending) come after all others."""
@@ -109,15 +144,16 @@ def needed(size):
     return -(-4 * size // 5)
 
 
-def _prefixes(sets: DataFrame, last: np.ndarray) -> DataFrame:
-    """h, sign of every prefix shingle; sets: sign, size, shingles."""
+def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
+    """h, sign of every prefix shingle, once for equal sets of a slice; docs: text."""
 
     def work(batch):
-        h = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.uint64)
-        at, own = prefixes(h, batch.column("size").to_numpy().astype(np.int64), last)
-        return h[at].view(np.int64), batch.column("sign").to_numpy()[own]
+        sets = Shingles(texts(batch))
+        at, own = prefixes(sets.h, sets.size, last)
+        use = sets.once()[own]
+        return sets.h[at[use]].view(np.int64), sets.sign[own[use]].view(np.int64)
 
-    return map_texts(sets.select("sign", "size", "shingles"), "shingles", "h long, sign long", work, _SLICE)
+    return map_texts(docs.select("text"), "text", "h long, sign long", work, _SLICE)
 
 
 def _groups(batches, names):
@@ -144,7 +180,7 @@ def _ended(batches):
     yield None
 
 
-def forest(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def forest(size: np.ndarray, bits: np.ndarray, prints: np.ndarray, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets that may be near, or, with ``sets``, are."""
     left, links = np.arange(len(size)), []
     while len(left):
@@ -155,6 +191,8 @@ def forest(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = N
             most = (size[left] + size[i]) // 9
             near = np.abs(size[left] - size[i]) <= most
             near[near] = np.bitwise_count(bits[left[near]] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most[near]
+            if size[i] >= LONG:
+                near[near] = (size[left[near]] < LONG) | (np.bitwise_count(prints[left[near]] ^ prints[i]).sum(axis=1, dtype=np.int64) <= RADIUS)
             if sets is not None:
                 for k in np.flatnonzero(near).tolist():
                     common = len(np.intersect1d(sets[i], sets[left[k]], assume_unique=True))
@@ -167,12 +205,14 @@ def forest(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = N
 
 
 def wide_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Parities again, over twice as many bits as the largest set has shingles (``WIDE`` at most).
+    """Parities again, over twice as many bits as the largest set has shingles (``WIDE`` and ``WIDE_BYTES`` at most).
 
-    ``BITS`` tell nothing of sets of over a thousand shingles, which would all be
-    intersected by pairs. Bits that tell too little cost time and lose no pair.
+    ``BITS`` tell nothing of sets of over a thousand shingles, which would be
+    intersected by pairs wherever SimHash lets them. Bits that tell too little
+    cost time and lose no pair.
     """
-    width = min(max(BITS, 1 << (2 * max(map(len, sets), default=1)).bit_length()), WIDE)
+    room = 1 << (8 * WIDE_BYTES // max(len(sets), 1)).bit_length() - 1
+    width = max(BITS, min(1 << (2 * max(map(len, sets), default=1)).bit_length(), WIDE, room))
     out = np.zeros((len(sets), width // 64), dtype=np.uint64)
     for row, h in zip(out, sets, strict=True):
         odd = np.bincount((h >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
@@ -185,14 +225,14 @@ def _words(cells) -> np.ndarray:
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """a, b: links that join all sets that may be near; found: h, sign, size, bits."""
+    """a, b: links that join all sets that may be near; found: h, sign, size, bits, print."""
     rows = found.repartition("h").sortWithinPartitions("h", "sign")
 
     def meet(batches):
         links = set()
-        for _, sign, size, bits in _groups(batches, ("h", "sign", "size", "bits")):
+        for _, sign, size, bits, prints in _groups(batches, ("h", "sign", "size", "bits", "print")):
             if len(sign) > 1:
-                links.update((int(sign[i]), int(sign[j])) for i, j in forest(size.astype(np.int64), _words(bits)))
+                links.update((int(sign[i]), int(sign[j])) for i, j in forest(size.astype(np.int64), _words(bits), _words(prints)))
             if len(links) > 200_000:
                 yield _links(links)
                 links = set()
@@ -208,16 +248,32 @@ def _links(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _checked(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: signs of sets with a similarity of 0.8; groups: component, sign; sets: sign, shingles."""
-    held = sets.select("sign", "shingles").join(groups, "sign").dropDuplicates(["sign"])
-    rows = held.repartition("component").sortWithinPartitions("component", "sign")
+def _tiled(groups: DataFrame) -> DataFrame:
+    """sign, doc_id, text_hash, meet: the tasks (a long each) in which a set is compared; groups: component, sign, size, doc_id, text_hash."""
+    large = groups.groupBy("component").agg(F.ceil(F.sum("size") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    own = F.pmod(F.xxhash64("sign", F.lit(7)), F.col("tiles")).cast("int")
+    # a tile meets every other, and so itself as well
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: x != own), lambda x: F.xxhash64(F.col("component"), F.least(x, own), F.greatest(x, own)))
+    return groups.join(large, "component", "left").select("sign", "doc_id", "text_hash", F.when(F.col("tiles").isNull(), F.array(F.xxhash64("component"))).otherwise(others).alias("meet"))
+
+
+def _checked(tiled: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: signs of sets with a similarity of 0.8; tiled: sign, doc_id, text_hash, meet; docs: doc_id, text, text_hash."""
+    held = docs.join(tiled, ["doc_id", "text_hash"]).select("sign", "meet", "text").dropDuplicates(["sign"])
+
+    def gather(batch):
+        sets = Shingles(texts(batch))
+        prints = [x.tobytes() for x in sets.prints()]
+        return batch.column("sign"), batch.column("meet"), pa.array(prints, pa.binary()), pa.array(sets.cells(), pa.binary())
+
+    sets = map_texts(held, "text", "sign long, meet array<long>, print binary, shingles binary", gather, _SLICE)
+    rows = sets.withColumn("meet", F.explode("meet")).repartition("meet").sortWithinPartitions("meet", "sign")
 
     def compare(batches):
-        for _, sign, shingles in _groups(batches, ("component", "sign", "shingles")):
+        for _, sign, prints, shingles in _groups(batches, ("meet", "sign", "print", "shingles")):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in shingles]
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            if links := forest(size, wide_bitmaps(sets), sets):
+            if links := forest(size, wide_bitmaps(sets), _words(prints), sets):
                 yield _links([(int(sign[i]), int(sign[j])) for i, j in links])
         release()
 
@@ -234,24 +290,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def sign(batch):
         sets = Shingles(texts(batch))
-        bits = [x.tobytes() for x in sets.bitmaps()]
-        return batch.column("doc_id"), batch.column("text_hash"), sets.sign.view(np.int64), sets.size.astype(np.int32), pa.array(bits, pa.binary()), pa.array(sets.cells(), pa.binary())
+        bits, prints = ([x.tobytes() for x in y] for y in (sets.bitmaps(), sets.prints()))
+        return batch.column("doc_id"), batch.column("text_hash"), sets.sign.view(np.int64), sets.size.astype(np.int32), pa.array(bits, pa.binary()), pa.array(prints, pa.binary())
 
     with Stash(docs.sparkSession) as stash:
-        marks = stash.put(map_texts(docs, "text", "doc_id long, text_hash long, sign long, size int, bits binary, shingles binary", sign, _SLICE), ROW_GROUP)
-        nodes = stash.put(marks.groupBy("sign").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")))
-        sets = marks.where("shingles is not null")
-        often = _prefixes(sets, np.zeros(0, np.uint64)).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
+        marks = stash.put(map_texts(docs, "text", "doc_id long, text_hash long, sign long, size int, bits binary, print binary", sign, _SLICE))
+        nodes = stash.put(marks.groupBy("sign").agg(F.max("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("least")))
+        often = _prefixes(docs, np.zeros(0, np.uint64)).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
         last = np.sort(often.orderBy(F.desc("c"), "h").limit(LAST).select("h").toArrow().column("h").to_numpy().view(np.uint64))
-        every = _prefixes(sets, last)
+        every = stash.put(_prefixes(docs, last))
         # counting alone first: nearly all prefix shingles stand in one set only and end here
         shared = stash.put(every.groupBy("h").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("h"))
         found = stash.put(every.join(shared, "h", "left_semi").distinct())
-        links = stash.put(_candidates(found.join(sets.select("sign", "size", "bits").distinct(), "sign")))
+        stash.forget(every)
+        links = stash.put(_candidates(found.join(marks.select("sign", "size", "bits", "print").distinct(), "sign")))
+        stash.forget(found)
         lowest = components(links).select(F.col("node").alias("sign"), "component")
         groups = lowest.unionByName(lowest.select(F.col("component").alias("sign"), "component").distinct())
-        # with its size known, Spark sends the groups to the sets where they are small, and deals both where they are not
-        near = stash.put(components(_checked(stash.put(groups), sets)).select(F.col("node").alias("sign"), F.col("component").alias("root")))
+        tiled = stash.put(_tiled(stash.put(groups.join(nodes, "sign").select("component", "sign", "size", "least.*"))))
+        same = stash.put(_checked(tiled, docs))
+        near = stash.put(components(same).select(F.col("node").alias("sign"), F.col("component").alias("root")))
         rooted = stash.put(nodes.join(near, "sign", "left").select("sign", F.coalesce("root", "sign").alias("root"), "least"))
         roots = stash.put(rooted.groupBy("root").agg(F.min("least").alias("least")))
         named = stash.put(rooted.select("sign", "root").join(roots, "root").select("sign", "least"))

@@ -1,5 +1,7 @@
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -97,3 +99,41 @@ def test_rows_of_one_id(spark, put):
     docs = spark.read.parquet(f"{put(pairs)}/documents.parquet")
     assert len(kept(N.drop_near_copies(docs))) == 3
     assert kept(N.drop_near_copies(docs)) == first_rows(pairs)
+
+
+@pytest.mark.parametrize("tile", [1500, 4000])
+def test_components_are_cut_into_tiles(spark, put, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE", tile)
+    real, seen = N._tiled, []
+    monkeypatch.setattr(N, "_tiled", lambda g: seen.append((g, out := real(g))) or out)
+    held = []
+
+    def checked(tiled, docs, check=N._checked):
+        groups = seen[0][0].select("sign", "size").collect()
+        size = {r.sign: r.size for r in groups}
+        tasks = {}
+        for r in tiled.collect():
+            for m in r.meet:
+                tasks[m] = tasks.get(m, 0) + size[r.sign]
+        held.extend([sum(size.values()), *tasks.values()])
+        return check(tiled, docs)
+
+    monkeypatch.setattr(N, "_checked", checked)
+    pairs = near_rows()
+    docs = spark.read.parquet(f"{put(pairs)}/documents.parquet")
+    assert kept(C.near_dedup(spark, docs, None)) == first_rows(pairs)
+    # two tiles a task, which hashes fill unevenly
+    assert max(held[1:]) < 4 * tile < held[0]
+
+
+def _sets(texts):
+    s = N.Shingles([t.encode() for t in texts])
+    return s, s.size, s.bitmaps(), s.prints()
+
+
+def test_long_unrelated_texts_are_no_candidates():
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(10)]
+    texts = [" ".join([*shared, *(f"w{rng.randrange(10**6)}" for _ in range(4000 + k))]) for k in range(6)]
+    _, size, bits, prints = _sets(texts)
+    assert N.forest(size, bits, prints) == []
