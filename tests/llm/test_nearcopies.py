@@ -137,3 +137,21 @@ def test_long_unrelated_texts_are_no_candidates():
     texts = [" ".join([*shared, *(f"w{rng.randrange(10**6)}" for _ in range(4000 + k))]) for k in range(6)]
     _, size, bits, prints = _sets(texts)
     assert N.forest(size, bits, prints) == []
+
+
+
+def test_stored_tables_are_smaller_than_the_texts(spark, put, monkeypatch):
+    rng = random.Random(6)
+    pairs = [(i, " ".join(f"word{rng.randrange(10**5)}" for _ in range(2000))) for i in range(200)]
+    docs = spark.read.parquet(f"{put(pairs)}/documents.parquet")
+    real, sizes = N.Stash.put, []
+
+    def measured(self, df, *more):
+        out = real(self, df, *more)
+        top = Path(self.top.removeprefix("file:"))
+        sizes.append(sum(f.stat().st_size for f in top.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(N.Stash, "put", measured)
+    assert N.near_copies(docs).where("first").count() == 200
+    assert 0 < max(sizes) < 0.6 * sum(len(t) for _, t in pairs)
