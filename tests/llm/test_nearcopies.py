@@ -139,6 +139,24 @@ def test_long_unrelated_texts_are_no_candidates():
     assert N.forest(size, bits, prints) == []
 
 
+def test_fingerprints_of_near_copies_are_within_the_radius():
+    rng = random.Random(4)
+    texts = []
+    for n in [N.LONG + 4, 80, 100, 150, 300, 1000, 5000] * 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        cut = (n - 4) // 9  # as many words go at one end as come at the other: a similarity of 0.8
+        texts += [" ".join(words), " ".join([*words[cut:], *(f"x{rng.randrange(10**6)}" for _ in range(cut))])]
+    s, size, bits, prints = _sets(texts)
+    far = np.bitwise_count(prints[::2] ^ prints[1::2]).sum(axis=1)
+    assert far.min() > 0 and far.max() <= N.RADIUS
+    other = np.bitwise_count(prints[::2] ^ np.roll(prints[1::2], 1, axis=0)).sum(axis=1)
+    assert other.min() > N.RADIUS
+    # a bit is the vote of the set's shingles
+    h = s.h[: size[0]]
+    first = N._mix(h + np.uint64(0x9E3779B97F4A7C15))
+    votes = np.unpackbits(first.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+    assert np.array_equal(np.unpackbits(prints[0].view(np.uint8))[:64], 2 * votes > size[0])
+
 
 def test_stored_tables_are_smaller_than_the_texts(spark, put, monkeypatch):
     rng = random.Random(6)
