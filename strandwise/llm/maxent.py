@@ -13,7 +13,8 @@ beginnings. Training rows are dealt by a hash of id and text to shards of about
 shard runs gradient updates over all its tokens in batches (one pass, Adagrad);
 their weights are averaged, each row by how often it was met (parameter
 mixing), in a streaming sum over sorted blocks. So neither files nor cores nor
-partitions of the input change a score.
+partitions, of the input or of a shuffle, change a score, and the weights that
+are shuffled follow the shards alone.
 
 For scoring, counts of the ``HEAD`` commonest words go to the executors (a
 fixed size); tokens of rarer words are joined with the counts by hash. Those
@@ -212,25 +213,34 @@ def train(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """Average of the shards' weights, each row by its number of tokens."""
     shards = min(SHARDS, max(1, -(-lexicon.n // SHARD_TOKENS)))
     key = F.xxhash64("doc_id", "text")
-    dealt = docs.select("doc_id", "text", key.alias("_key")).where(~_is_held_out()).repartition(shards, "_key").sortWithinPartitions("_key", "doc_id")
+    # the shard is the row's own and not the partition it comes to: partitions may be more or fewer, and hold no shard or some
+    shard = F.pmod(F.hash(key), F.lit(shards))
+    dealt = docs.select(shard.alias("_shard"), key.alias("_key"), "doc_id", "text").where(~_is_held_out()).repartitionById(shards, "_shard").sortWithinPartitions("_shard", "_key", "doc_id")
 
     def local(batches):
-        from pyspark import TaskContext
-
         from .common import slices
 
-        shard = TaskContext.get().partitionId()
-        weights = Weights(lexicon)
+        shard, weights = None, None
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
-                tokens = Tokens(texts(part))
-                k, rows = lexicon.features(tokens, lexicon.find(tokens))
-                for at in range(0, len(k), BATCH):
-                    weights.update(rows[:, at : at + BATCH], k[at : at + BATCH])
-        if weights.met.any():
-            blocks = [b for b in range(-(-ROWS // BLOCK)) if weights.met[b * BLOCK : (b + 1) * BLOCK].any()]
-            cells = [slice(b * BLOCK, (b + 1) * BLOCK) for b in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array([weights.met[c].astype("<i8").tobytes() for c in cells], pa.binary()), pa.array([(weights.w[c] * weights.met[c][:, None]).astype("<f4").tobytes() for c in cells], pa.binary())], names=["block", "shard", "met", "w"])
+            own = batch.column("_shard").to_numpy()
+            bounds = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist() if len(own) else []
+            for a, b in zip(bounds, [*bounds[1:], len(own)], strict=True):
+                if own[a] != shard:
+                    if weights is not None and weights.met.any():
+                        yield _blocks(shard, weights)
+                    shard, weights = int(own[a]), Weights(lexicon)
+                for part in slices(batch.slice(a, b - a), "text", _SLICE):
+                    tokens = Tokens(texts(part))
+                    k, rows = lexicon.features(tokens, lexicon.find(tokens))
+                    for at in range(0, len(k), BATCH):
+                        weights.update(rows[:, at : at + BATCH], k[at : at + BATCH])
+        if weights is not None and weights.met.any():
+            yield _blocks(shard, weights)
+
+    def _blocks(shard, weights):
+        blocks = [b for b in range(-(-ROWS // BLOCK)) if weights.met[b * BLOCK : (b + 1) * BLOCK].any()]
+        cells = [slice(b * BLOCK, (b + 1) * BLOCK) for b in blocks]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array([weights.met[c].astype("<i8").tobytes() for c in cells], pa.binary()), pa.array([(weights.w[c] * weights.met[c][:, None]).astype("<f4").tobytes() for c in cells], pa.binary())], names=["block", "shard", "met", "w"])
 
     def total(batches):
         now, met, w = None, None, None

@@ -107,3 +107,18 @@ def test_scores_do_not_hang_on_partitions(spark, monkeypatch):
     for other in others:
         assert [r[:5] for r in one] == [r[:5] for r in other]
         assert [r[6] for r in one] == pytest.approx([r[6] for r in other], rel=1e-9)
+
+
+def test_shards_do_not_follow_the_partitions_of_a_shuffle(spark, monkeypatch):
+    from .conftest import odd_rows
+
+    monkeypatch.setattr(X, "SHARD_TOKENS", 8000)
+    docs = spark.createDataFrame(odd_rows(), "doc_id long, text string").repartition(4).cache()
+    before = sorted(map(tuple, X.scores(docs).collect()), key=str)
+    # a cluster that deals to many more partitions than were asked for
+    frame = type(docs)
+    for name in ("repartition", "repartitionById"):
+        monkeypatch.setattr(frame, name, lambda self, n, *cols, f=getattr(frame, name): f(self, max(n, 40) if cols and isinstance(n, int) else n, *cols))
+    after = sorted(map(tuple, X.scores(docs).collect()), key=str)
+    assert [r[:5] for r in before] == [r[:5] for r in after]
+    assert [r[6] for r in before] == pytest.approx([r[6] for r in after], rel=1e-9)
