@@ -129,7 +129,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     flat = grouped(docs)
     groups = following(flat.select("g"))
-    w = Window.partitionBy("g").orderBy(F.desc_nulls_last("doc_id"), "text")
+    w = Window.partitionBy("g").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
     dealt = flat.repartition("g").withColumns({"_next": F.lead("text").over(w), "_before": F.lag(F.lit(True)).over(w)})
     last = dealt.where(F.col("_next").isNull()).drop("_next", "_before").join(groups, "g")
     first = dealt.where(F.col("_before").isNull()).select(F.col("g").alias("next_g"), F.col("text").alias("next_text"))

@@ -105,3 +105,12 @@ def test_near_pairs(spark, threshold):
     want = {(i, j): share(sets[i], sets[j]) for i in heads for j in heads if i < j and share(sets[i], sets[j]) >= threshold}
     got = [((min(r.a, r.b), max(r.a, r.b)), r.likeness) for r in pairs.collect()]
     assert len(got) == len(dict(got)) and dict(got) == pytest.approx(want)
+
+
+def test_texts_of_one_id_descend_like_the_ids(spark, put):
+    a, b = "aa bb cc dd", "ee ff gg hh"
+    got = P.op4_spotsigs(spark, put([(2, a), (2, b), (1, "ii jj kk")])).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = [b, a, "ii jj kk"]
+    want = [sha(edit(t, order[(k + 1) % 3])) for k, t in enumerate(order)]
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
