@@ -2,13 +2,17 @@
 
 Two texts are near copies where their sets of ``SHINGLE``-word shingles (A-Z
 folded, parted by white space) have a similarity of 0.8 at least; near copies
-of near copies are one component. Sets of similarity 0.8 share a shingle among
-the first ``n - ceil(0.8 n) + 1`` of each under one order of all shingles
-(prefix filter), so every such pair meets under a shingle. The order is by hash,
-with shingles that many prefixes hold put last; which ones are put last changes
-the work and not the result.
-
-Sets that meet are compared by size, by a bitmap of parities and by SimHash. The
+of near copies are one component. Sets whose SimHash fingerprints agree in a
+block meet first and are compared bit-sliced (``blocks``). At the radius that a
+similarity of 0.8 needs, some pairs agree in no block, so what blocks have not
+joined meets exactly: sets of similarity 0.8 share a shingle among the first
+``n - ceil(0.8 n) + 1`` of each under one order of all shingles (prefix filter),
+so every such pair meets under a shingle, and a shingle is looked at unless
+blocks have joined all sets that hold it. The order is by hash, with shingles
+that many prefixes hold put last; which ones are put last, and what blocks have
+joined, changes the work and not the result.
+
+Sets that meet under a shingle are compared by size, by a bitmap of parities and by SimHash. The
 bitmap's differing bits are at most the shingles that differ; it tells much of
 short sets and nothing of long ones. The SimHash fingerprint (``PRINT`` bits, a
 majority vote of the set's shingles) tells the same for all lengths: of two sets
@@ -43,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_links
 from .common import Stash, cut, map_texts, release, spread, texts
 from .components import components
 from .substring import _BASE, Rolling, Words, _mix
@@ -243,6 +248,12 @@ def _candidates(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _apart(found: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of the shingles whose sets are not all of one component already; found: h, sign; joined: node, component."""
+    named = found.join(joined.select(F.col("node").alias("sign"), "component"), "sign", "left").select("h", F.coalesce("component", "sign").alias("part"))
+    return found.join(named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("h"), "h", "left_semi")
+
+
 def _links(links) -> pa.RecordBatch:
     a, b = zip(*links, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -296,6 +307,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     with Stash(docs.sparkSession) as stash:
         marks = stash.put(map_texts(docs, "text", "doc_id long, text_hash long, sign long, size int, bits binary, print binary", sign, _SLICE))
         nodes = stash.put(marks.groupBy("sign").agg(F.max("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("least")))
+        sets = stash.put(marks.select("sign", "size", "bits", "print").distinct())
+        agreed = stash.put(block_links(sets, PRINT // 8, RADIUS, stash))
         often = _prefixes(docs, np.zeros(0, np.uint64)).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
         last = np.sort(often.orderBy(F.desc("c"), "h").limit(LAST).select("h").toArrow().column("h").to_numpy().view(np.uint64))
         every = stash.put(_prefixes(docs, last))
@@ -303,9 +316,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         shared = stash.put(every.groupBy("h").agg(F.min("sign").alias("low"), F.max("sign").alias("high")).where("low <> high").select("h"))
         found = stash.put(every.join(shared, "h", "left_semi").distinct())
         stash.forget(every)
-        links = stash.put(_candidates(found.join(marks.select("sign", "size", "bits", "print").distinct(), "sign")))
+        # stored: Spark would take this join's exchange by h for that of _candidates, and then part the rows of one h
+        apart = stash.put(_apart(found, components(agreed)))
         stash.forget(found)
-        lowest = components(links).select(F.col("node").alias("sign"), "component")
+        rest = stash.put(_candidates(apart.join(sets, "sign")))
+        stash.forget(apart)
+        stash.forget(sets)
+        lowest = components(agreed.unionByName(rest)).select(F.col("node").alias("sign"), "component")
         groups = lowest.unionByName(lowest.select(F.col("component").alias("sign"), "component").distinct())
         tiled = stash.put(_tiled(stash.put(groups.join(nodes, "sign").select("component", "sign", "size", "least.*"))))
         same = stash.put(_checked(tiled, docs))
