@@ -7,9 +7,11 @@ a third of the bytes in a shuffle, and no k-character string is ever made.
 
 Records longer than ``PIECE`` are cut into overlapping pieces by their bytes
 before they are dealt, so one chromosome is work for all tasks. Sets are made
-of blocks: a task sorts its codes once, in the order of a scrambled code, and
-sends ranges of them as one binary each; whoever gets a range merges what all
-tasks found. So no code is a row of its own until the set is read.
+of blocks: a task gathers up to ``HELD`` codes, sorts them in the order of a
+scrambled code, and sends ranges of them as one binary each, in which a code is
+its distance from the one before, in as few bytes as the block's largest takes;
+whoever gets a range merges what all tasks found. So no code is a row of its own
+until the set is read, and a task's memory depends on the constants below.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alphabet
+from ..functions.batches import sliced
 
 CHUNK = 256
 #: Longer records are cut into pieces of so many k-mers.
 PIECE = 1 << 20
 #: Codes of a range of a set, about; a task merges one range.
 RANGE = 8 << 20
-#: Arrow batches are worked on in slices of about so many bases.
-SLICE = 4 << 20
+#: Codes that a task gathers before it sends them, or merges what it got.
+HELD = 4 << 20
+#: Codes in a batch of rows.
+ROWS = 1 << 18
 _CODE = np.array([{0: 0, 1: 1, 2: 3, 3: 2}[(b >> 1) & 3] for b in range(256)], dtype=np.uint8)
 
 
@@ -96,17 +101,12 @@ def canonical_codes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def laid(batch: pa.RecordBatch, k: int):
     """Pieces of k bases or more in slices: (rows, lengths, joined codes)."""
-    rows, parts, held = [], [], 0
-    for i, seq in enumerate(batch.column("seq").cast(pa.binary()).to_pylist()):
-        if seq is not None and len(seq) >= k:
-            rows.append(i)
-            parts.append(seq)
-            held += len(seq)
-            if held >= SLICE:
-                yield np.array(rows), np.array(list(map(len, parts))), base_codes(b"".join(parts))
-                rows, parts, held = [], [], 0
-    if rows:
-        yield np.array(rows), np.array(list(map(len, parts))), base_codes(b"".join(parts))
+    begun = 0
+    for part in sliced(batch, "seq"):
+        own = [(i, seq) for i, seq in enumerate(part.column("seq").cast(pa.binary()).to_pylist(), begun) if seq is not None and len(seq) >= k]
+        begun += part.num_rows
+        if own:
+            yield np.array([i for i, _ in own]), np.array([len(seq) for _, seq in own]), base_codes(b"".join(seq for _, seq in own))
 
 
 def inside(lengths: np.ndarray, k: int) -> np.ndarray:
@@ -132,11 +132,20 @@ class Known:
     """Which codes are in a set of bounded size: a table of bits first, then a search."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(np.asarray(codes).view(np.uint64))
+        self._hold(np.sort(np.asarray(codes).view(np.uint64)))
+
+    def _hold(self, codes: np.ndarray) -> None:
+        self.codes = codes
         self.shift = np.uint64(64 - min(28, max(10, int(len(codes)).bit_length() + 4)))
         self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.bits[self.codes * SCRAMBLE >> self.shift] = True
 
+    def __getstate__(self):
+        return (self.codes,)  # the table of bits is made again where the set arrives
+
+    def __setstate__(self, state):
+        self._hold(*state)
+
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         found = self.bits[codes * SCRAMBLE >> self.shift]
         at = np.flatnonzero(found)
@@ -187,17 +196,72 @@ def kmers(records: DataFrame, k: int) -> DataFrame:
 # ------------------------------------------------------------ sets by blocks
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """Ascending values without repeats, by sorting; ``np.unique`` hashes them, which takes many times as long."""
-    x = np.sort(x)
-    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+def _scrambled(codes: np.ndarray, k: int) -> np.ndarray:
+    """A bijection of 2k-bit codes, so that they spread evenly over their range."""
+    return codes * SCRAMBLE & np.uint64((1 << 2 * k) - 1)
+
+
+def _unscrambled(mixed: np.ndarray, k: int) -> np.ndarray:
+    return mixed * _BACK & np.uint64((1 << 2 * k) - 1)
+
+
+def packed(x: np.ndarray, low: int) -> bytes:
+    """Ascending numbers from ``low`` on: bytes of a distance, then distances."""
+    gaps = np.diff(x, prepend=np.uint64(low)).astype("<u8")
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes, low: int) -> np.ndarray:
+    width = data[0]
+    gaps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(low)
+
+
+class Gathered:
+    """Distinct numbers, ascending, of arrays that come one by one, by sorting (``np.unique`` hashes, which takes many times as long); holds the distinct ones and ``HELD`` more at most before they are merged."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.n = self.most = 0
+
+    def add(self, x: np.ndarray) -> bool:
+        """Whether they were merged."""
+        self.parts.append(x)
+        self.n += len(x)
+        if full := self.n > max(self.most, HELD):
+            self.merge()
+        return full
+
+    def merge(self) -> np.ndarray:
+        x = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint64)
+        self.parts.clear()  # or they stand beside the sorted ones
+        x.sort()
+        if len(x):
+            x = x[np.r_[True, x[1:] != x[:-1]]]
+        self.parts.append(x)
+        self.n, self.most = len(x), 2 * len(x) + HELD // 2
+        return x
 
 
 def _blocks(records: DataFrame, k: int, bits: int, side: int = 0, only: Known | None = None, without: Known | None = None) -> DataFrame:
-    """side, range, codes (scrambled, ascending, as bytes) of each slice; codes once a slice."""
+    """side, range, n, codes (scrambled, ascending, packed); n: how many k-mers, with repeats, on one row for all ranges sent with it."""
     _check_codes(k)
+    bits = min(bits, 2 * k)
+    shift = 2 * k - bits
+
+    def sent(mixed, n):
+        bounds = np.r_[0, np.searchsorted(mixed, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(shift)), len(mixed)]
+        own = np.flatnonzero(np.diff(bounds))
+        for some in np.split(own, range(256, len(own), 256)):
+            data = [packed(mixed[bounds[i] : bounds[i + 1]], int(i) << shift) for i in some]
+            counts = np.zeros(len(some), np.int64)
+            counts[:1], n = n, 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), side, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts), pa.array(data, pa.binary())], names=["side", "range", "n", "codes"])
 
     def run(batches):
+        held, n = Gathered(), 0
         for batch in batches:
             for _, lengths, codes in laid(batch, k):
                 code = canonical_codes(codes, k)[0][inside(lengths, k)]
@@ -205,15 +269,14 @@ def _blocks(records: DataFrame, k: int, bits: int, side: int = 0, only: Known |
                     code = code[only(code)]
                 if without is not None:
                     code = code[~without(code)]
-                mixed = distinct(code * SCRAMBLE)
-                bounds = np.searchsorted(mixed, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-                bounds = np.r_[0, bounds, len(mixed)]
-                own = np.flatnonzero(np.diff(bounds))
-                if len(own):
-                    data = [mixed[bounds[i] : bounds[i + 1]].tobytes() for i in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), side, np.int32)), pa.array(own.astype(np.int32)), pa.array(data, pa.binary())], names=["side", "range", "codes"])
+                n += len(code)
+                if held.add(_scrambled(code, k)) and held.n > HELD // 2:  # few are repeats
+                    yield from sent(held.parts.pop(), n)
+                    held, n = Gathered(), 0
+        if n:
+            yield from sent(held.merge(), n)
 
-    return dealt(pieces(records, k, keep=())).mapInArrow(run, "side int, range int, codes binary")
+    return dealt(pieces(records, k, keep=())).mapInArrow(run, "side int, range int, n long, codes binary")
 
 
 def _bytes(records: DataFrame) -> int:
@@ -229,29 +292,22 @@ def _bits(*records: DataFrame) -> int:
     return min(22, max(0, (ranges - 1).bit_length()))
 
 
-def _merged(blocks: DataFrame, bits: int, work, schema: str) -> DataFrame:
-    """``work(a, b)`` on the ascending scrambled codes of both sides, for each range."""
+def _merged(blocks: DataFrame, k: int, bits: int, work, schema: str) -> DataFrame:
+    """``work(a, b, n)`` on the ascending scrambled codes of both sides, and how many there were with repeats, for each range."""
     names = [c.split()[0] for c in schema.split(", ")]
+    bits = min(bits, 2 * k)
+    shift = 2 * k - bits
 
     def run(batches):
         held: dict = {}
-        size: dict = {}
-
-        def merge(at):
-            held[at] = [distinct(np.concatenate(held[at]))]
-            size[at] = 2 * len(held[at][0]) + RANGE
-
+        n: dict = {}
         for batch in batches:
-            for side, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault((at, side), []).append(np.frombuffer(data, dtype=np.uint64))
-                if sum(map(len, held[at, side])) > size.get((at, side), RANGE):
-                    merge((at, side))
-        none = np.zeros(0, np.uint64)
-        for at in sorted({at for at, _ in held}):
-            for side in (0, 1):
-                if (at, side) in held:
-                    merge((at, side))
-            for out in work(*(held.pop((at, side), [none])[0] for side in (0, 1))):
+            for part in sliced(batch, "codes"):
+                for side, at, some, data in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    held.setdefault((at, side), Gathered()).add(unpacked(data, at << shift))
+                    n[at] = n.get(at, 0) + some
+        for at in sorted(n):
+            for out in work(*(held.pop((at, side), Gathered()).merge() for side in (0, 1)), n[at]):
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     return blocks.repartitionById(1 << bits, "range").mapInArrow(run, schema)
@@ -260,33 +316,67 @@ def _merged(blocks: DataFrame, bits: int, work, schema: str) -> DataFrame:
 def code_set(records: DataFrame, k: int, only: Known | None = None, without: Known | None = None) -> DataFrame:
     """code: distinct canonical k-mers, k <= 31; of ``only`` these, or none of ``without``."""
 
-    def work(a, _):
-        for i in range(0, len(a), 1 << 20):
-            yield [pa.array((a[i : i + (1 << 20)] * _BACK).view(np.int64))]
+    def work(a, _, __):
+        for i in range(0, len(a), ROWS):
+            yield [pa.array(_unscrambled(a[i : i + ROWS], k).view(np.int64))]
+
+    bits = _bits(records)
+    return _merged(_blocks(records, k, bits, 0, only, without), k, bits, work, "code long")
+
 
+def totals(records: DataFrame, k: int) -> DataFrame:
+    """One row: n_kmers with repeats, and n_distinct of them; k <= 31."""
     bits = _bits(records)
-    return _merged(_blocks(records, k, bits, 0, only, without), bits, work, "code long")
+    found = _merged(_blocks(records, k, bits), k, bits, lambda a, _, n: [[pa.array([n], pa.int64()), pa.array([len(a)], pa.int64())]], "n_kmers long, n_distinct long")
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in found.columns))
 
 
 def distinct_count(records: DataFrame, k: int) -> DataFrame:
     """One row: n distinct canonical k-mers."""
     if k > 31:
         return key_set(records, k).agg(F.count("*").alias("n"))
-    bits = _bits(records)
-    return _merged(_blocks(records, k, bits), bits, lambda a, _: [[pa.array([len(a)], pa.int64())]], "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return totals(records, k).select(F.col("n_distinct").alias("n"))
+
+
+def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``x`` are in the ascending ``y``."""
+    found = np.zeros(len(x), dtype=bool)
+    for i in range(0, len(x) if len(y) else 0, ROWS):
+        some = x[i : i + ROWS]
+        found[i : i + ROWS] = y[np.minimum(np.searchsorted(y, some), len(y) - 1)] == some
+    return found
+
+
+def _of_two(a: DataFrame, b: DataFrame, k: int, work, schema: str) -> DataFrame:
+    bits = _bits(a, b)
+    return _merged(_blocks(a, k, bits, 0).unionByName(_blocks(b, k, bits, 1)), k, bits, work, schema)
 
 
 def pair_counts(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """One row: both, only_a, only_b of the k-mer sets of two tables of records; k <= 31."""
 
-    def work(x, y):
-        both = len(np.intersect1d(x, y, assume_unique=True))
+    def work(x, y, _):
+        both = int((among(x, y) if len(x) < len(y) else among(y, x)).sum())
         yield [pa.array([n], pa.int64()) for n in (both, len(x) - both, len(y) - both)]
 
-    bits = _bits(a, b)
-    blocks = _blocks(a, k, bits, 0).unionByName(_blocks(b, k, bits, 1))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return _merged(blocks, bits, work, "both long, only_a long, only_b long").agg(total("both"), total("only_a"), total("only_b"))
+    return _of_two(a, b, k, work, "both long, only_a long, only_b long").agg(total("both"), total("only_a"), total("only_b"))
+
+
+def pair_flags(a: DataFrame, b: DataFrame, k: int, wanted=("both", "only_a", "only_b")) -> DataFrame:
+    """key, in_a, in_b of the k-mer sets of two tables of records; k <= 31. What is not ``wanted`` never becomes rows."""
+
+    def work(x, y, _):
+        for own, other, only, flags in ((x, y, "only_a", (True, False)), (y, x, "only_b", (False, True))):
+            for i in range(0, len(own) if only in wanted or own is x else 0, ROWS):
+                some = own[i : i + ROWS]
+                shared = among(some, other)
+                for keep, fits, (in_a, in_b) in ((only, ~shared, flags), ("both", shared, (True, True))):
+                    if keep in wanted and (keep != "both" or own is x):
+                        key = _unscrambled(some[fits], k).view(np.int64)
+                        yield [pa.array(key), pa.array(np.full(len(key), in_a)), pa.array(np.full(len(key), in_b))]
+
+    return _of_two(a, b, k, work, "key long, in_a boolean, in_b boolean")
 
 
 def collected(records: DataFrame, k: int, most: int, only: Known | None = None) -> Known | None:

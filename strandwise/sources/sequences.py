@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabet
+from ..functions.batches import sliced
 
 SCHEMA = "record_id string, seq string"
 
@@ -38,19 +37,19 @@ def from_letters(df: DataFrame, record_id: str | Column, text: str) -> DataFrame
     """Records of a table of texts: the ASCII letters of a text, each read as a base; null texts are dropped.
 
     The same as ``alphabet.letters_as_bases``, by a table of bytes over Arrow
-    batches, which costs a small part of a regular expression's time.
+    batches, which costs a small part of a regular expression's time. Texts are
+    translated in C one by one and leave in slices, so a task holds little more
+    than the batch it reads.
     """
-    letter = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
-    base = np.array([ord(alphabet.BITS_TO_BASE[(b >> 1) & 3]) for b in range(256)], dtype=np.uint8)
+    letters = alphabet.LETTERS.encode()
+    base = bytes(ord(alphabet.BITS_TO_BASE[(b >> 1) & 3]) for b in range(256))
+    other = bytes(b for b in range(256) if b not in letters)
 
     def run(batches):
         for batch in batches:
-            ends = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-            data = np.frombuffer(b"".join(batch.column("text").to_pylist()), dtype=np.uint8)
-            kept = letter[data]
-            count = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(ends)]].astype(np.int64)
-            seq = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(count.tobytes()), pa.py_buffer(base[data[kept]].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("record_id"), seq.cast(pa.string())], names=["record_id", "seq"])
+            for part in sliced(batch, "text"):
+                seq = pa.array([t.translate(base, other) for t in part.column("text").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("record_id"), seq], names=["record_id", "seq"])
 
     record_id = F.col(record_id) if isinstance(record_id, str) else record_id
     rows = df.select(record_id.cast("string").alias("record_id"), F.col(text).cast("binary").alias("text")).where("text is not null")
