@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, hashing
+from ..functions.batches import SLICE, sliced
 from . import kmers as K
 from .kmers import base_codes, canonical_codes, check_k, dealt
 
@@ -73,7 +74,7 @@ def superkmers(records: DataFrame, k: int, m: int) -> DataFrame:
     piece = K.PIECE
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, "seq")):
             rows, starts, seqs, pref, suff, low, count, held = [], [], [], [], [], [], [], 0
             for i, (at, seq) in enumerate(zip(batch.column("at").to_pylist(), batch.column("seq").to_pylist(), strict=True)):
                 codes = base_codes(seq)
@@ -100,7 +101,7 @@ def superkmers(records: DataFrame, k: int, m: int) -> DataFrame:
                 low.append((np.full(len(begin), m), _LETTERS[letters].ravel()))
                 count.append(n)
                 held += int(length.sum())
-                if held > 1 << 26:
+                if held > 4 * SLICE:
                     yield _table(batch, rows, starts, seqs, pref, suff, low, count)
                     rows, starts, seqs, pref, suff, low, count, held = [], [], [], [], [], [], [], 0
             if rows:
