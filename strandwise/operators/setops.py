@@ -34,6 +34,23 @@ def relation(a: DataFrame, b: DataFrame, name: str, key: str = "key") -> DataFra
     return flagged(a, b, key).where(RELATIONS[name]).select(key)
 
 
+#: What a relation takes of two sets.
+PARTS = {"intersection": ("both",), "union": ("both", "only_a", "only_b"), "diff_ab": ("only_a",), "diff_ba": ("only_b",), "xor": ("only_a", "only_b")}
+
+
+def flagged_of(a: DataFrame, b: DataFrame, k: int, parts: tuple[str, ...] = PARTS["union"]) -> DataFrame:
+    """``flagged`` of the k-mers of two tables of records; sorted blocks meet, and only the ``parts`` asked for become rows."""
+    if k <= 31:
+        return K.pair_flags(a, b, k, parts)
+    marked = flagged(K.key_set(a, k), K.key_set(b, k))
+    return marked.where(" or ".join(f"({RELATIONS[n]})" for n, x in (("intersection", "both"), ("diff_ab", "only_a"), ("diff_ba", "only_b")) if x in parts))
+
+
+def relation_of(a: DataFrame, b: DataFrame, name: str, k: int) -> DataFrame:
+    """The keys of one relation of the k-mers of two tables of records."""
+    return flagged_of(a, b, k, PARTS[name]).select("key")
+
+
 def intersection(a, b, key="key"):
     return a.select(key).join(b.select(key), key, "left_semi")
 
@@ -130,7 +147,12 @@ class Request:
 def multi(a: DataFrame, b: DataFrame, request: Request, write, inputs: tuple[str, ...] = (), key: str = "key") -> dict[str, int]:
     """All asked relations and sizes from one shared table; ``write(df, path)`` stores one."""
     request.validate(inputs)
-    marked = flagged(a, b, key)
+    return multi_of(flagged(a, b, key), request, write, key)
+
+
+def multi_of(marked: DataFrame, request: Request, write, key: str = "key") -> dict[str, int]:
+    """``multi`` of a table of flagged keys."""
+    request.validate()
     if not request.outputs:
         return {r["relation"]: r["n"] for r in sizes(marked).collect()}
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
