@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
 from . import kmers as K
 
 #: A set of at most so many keys is sent to all executors (about 64 MB); larger ones are joined by shuffle.
@@ -29,22 +30,29 @@ def presence(records: DataFrame, keys: DataFrame, k: int, keys_in_set: int | Non
     return rows.join(marked, "key", "left").select("record_id", "pos", K.as_kmer("key", k).alias("kmer"), F.col("_in").isNotNull().alias("present"))
 
 
-def known(records: DataFrame, others: DataFrame, k: int) -> K.Known | None:
-    """The k-mers of ``records`` that ``others`` have too, if ``records`` have at most ``BROADCAST_KEYS``.
+def known(records: DataFrame, others: DataFrame, k: int) -> K.Known | DataFrame:
+    """The k-mers of ``records`` that ``others`` have too: as a set for executors if they are ``BROADCAST_KEYS`` at most, else stored, as ``key``.
 
-    The larger side is filtered where it is read, so its set is never made.
+    If ``records`` have so few, the others are filtered where they are read, so
+    their set is never made. Else both sets meet in sorted blocks once.
     """
     if k > 31:
-        return None
+        return K.key_set(others, k)
     own = K.collected(records, k, BROADCAST_KEYS)
-    return own and K.collected(others, k, BROADCAST_KEYS, own)
+    if own is not None:
+        return K.collected(others, k, BROADCAST_KEYS, own)
+    spark = records.sparkSession
+    path = scratch(spark)
+    K.pair_flags(records, others, k, ("both",)).select("key").write.parquet(path)
+    shared = spark.read.schema("key long").parquet(path)
+    return shared if shared.count() > BROADCAST_KEYS else K.Known(shared.toArrow().column("key").to_numpy())
 
 
 def presence_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """``presence`` of the k-mers of ``records`` among those of other records, whose set is not stored."""
     hit = known(records, others, k)
-    if hit is None:
-        return presence(records, K.key_set(others, k), k)
+    if isinstance(hit, DataFrame):
+        return presence(records, hit, k)
     return K.kmer_codes(records, k, hit).select("record_id", "pos", K.as_kmer("code", k).alias("kmer"), "present")
 
 
@@ -67,8 +75,8 @@ def _each_piece(records: DataFrame, k: int, hit: K.Known, schema: str, work) ->
 def summary_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """``summary``, counted where records are read."""
     hit = known(records, others, k)
-    if hit is None:
-        return summary(presence_among(records, others, k))
+    if isinstance(hit, DataFrame):
+        return summary(presence(records, hit, k))
     parts = _each_piece(records, k, hit, "n long, p long", lambda f: (len(f), int(f.sum())))
     return parts.groupBy("record_id").agg(F.sum("n").alias("n_kmers"), F.sum("p").alias("n_present"))
 
@@ -76,8 +84,8 @@ def summary_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
 def lines_among(records: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """``lines``; a record's flags meet as one text for each piece."""
     hit = known(records, others, k)
-    if hit is None:
-        return lines(presence_among(records, others, k))
+    if isinstance(hit, DataFrame):
+        return lines(presence(records, hit, k))
 
     def text(flags):
         out = np.full(2 * len(flags) - 1, ord(","), dtype=np.uint8)
