@@ -77,7 +77,7 @@ def common_of(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """key: k-mers that two tables of records share; the larger one is filtered where it is read if ``b`` has few."""
     own = K.collected(b, k, BROADCAST_KEYS) if k <= 31 else None
     if own is None:
-        return intersection(K.key_set(a, k), K.key_set(b, k))
+        return relation_of(a, b, "intersection", k)
     return K.code_set(a, k, only=own).select(F.col("code").alias("key"))
 
 
@@ -85,7 +85,7 @@ def difference_of(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """key: k-mers of records ``a`` that records ``b`` lack."""
     own = K.collected(a, k, BROADCAST_KEYS) if k <= 31 else None
     if own is None:
-        return difference(K.key_set(a, k), K.key_set(b, k))
+        return relation_of(a, b, "diff_ab", k)
     return K.code_set(a, k, without=K.collected(b, k, BROADCAST_KEYS, own)).select(F.col("code").alias("key"))
 
 
